@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logrung.functions.text import replace_pattern
+from logrung.functions.text import computed_once, replace_pattern
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,8 @@ def with_masked(
     Every rule is a projection of its own, so that each step is computed once
     although its check and its regex both read it.
     """
-    out = df.withColumn(target, F.coalesce(F.col(source), F.lit("")))
+    step = F.col("_masked_step")
+    out = df.withColumn("_masked_step", F.coalesce(F.col(source), F.lit("")))
     for rule in MASK_RULES:
-        out = out.withColumn(target, mask_rule(F.col(target), rule, prefix, suffix))
-    return out
+        out = out.withColumn("_masked_step", mask_rule(step, rule, prefix, suffix))
+    return computed_once(out, {target: step}).drop("_masked_step")

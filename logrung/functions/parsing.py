@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logrung.functions.levels import UNKNOWN
-from logrung.functions.text import replace_pattern, strip
+from logrung.functions.text import computed_once, replace_pattern, strip
 
 # White space, timestamp, level words and the two line shapes.
 _WS = r"[\s\x1c-\x1f]"
@@ -127,13 +127,14 @@ def parse_lines(df: DataFrame, line: str = "raw_line", detected: str | None = No
     )
     kept = strip(F.coalesce(F.element_at("_parts", 4), text))
     level = F.col("line_level")
-    return rows.withColumn(
-        "line_timestamp", F.coalesce(F.element_at("_parts", 2), F.lit(""))
-    ).withColumn(
-        "message",
-        F.when(
-            F.col("_hit").isNull() & (level != UNKNOWN), strip_leaked_level(kept, level)
-        ).otherwise(kept),
+    leaked = F.col("_hit").isNull() & (level != UNKNOWN)
+    return computed_once(
+        rows,
+        {
+            "line_timestamp": F.coalesce(F.element_at("_parts", 2), F.lit("")),
+            "line_level": level,
+            "message": F.when(leaked, strip_leaked_level(kept, level)).otherwise(kept),
+        },
     ).drop("_strict", "_hit", "_parts")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every character that counts as white space in a log line.
@@ -68,3 +68,14 @@ def dataset_key(path: Column, root: str) -> Column:
     below = F.substring(path, start, F.length(path))
     stem = F.regexp_replace(below, r"(?<=.)\.[^.]*$", "")
     return F.when(F.contains(below, F.lit("/")), F.substring_index(below, "/", 1)).otherwise(stem)
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Append columns as a one-element ``inline``.
+
+    A filter on the result stays above it. With a plain projection the
+    optimizer copies the expressions into the filter, so that costly ones
+    run again and nested ones multiply.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -8,8 +8,10 @@ all rows is therefore spread over as many tasks as it has buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,16 @@ def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
 def with_value_bucket(df: DataFrame, order: str, buckets: int = VALUE_BUCKETS) -> DataFrame:
     """Append ``_bucket``, a number by approximate quantiles of ``order``.
 
-    The bounds only steer the balance; ranks stay exact whatever they are.
+    The bounds only steer the balance; ranks stay exact whatever they are. At
+    most ``buckets`` numbers come to the driver.
     """
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = df.agg(F.percentile_approx(order, shares, 10 * buckets)).scalar()
-    below = F.filter("_bounds", lambda b: b < F.col(order))
-    return df.withColumn("_bounds", bounds).withColumn("_bucket", F.size(below)).drop("_bounds")
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(order, shares, 10 * buckets).alias("b")).first()["b"]
+    inner = sorted({float(b) for b in bounds or []})
+    place = Bucketizer(
+        splits=[-math.inf, *inner, math.inf], inputCol="_order", outputCol="_bucket", handleInvalid="keep"
+    )
+    return place.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
 
 
 def _before(measure: str | Column, partition: Sequence[str], order: Sequence[str]) -> Column:
@@ -54,8 +60,10 @@ def running_totals(
 
     ``<m>_before`` sums the measure over all rows with a smaller ``order``,
     which must be unique: group by it first. Rows never meet in one task:
-    each bucket is summed on its own and shifted by the totals before it.
+    each bucket is summed on its own and shifted by the totals before it. The
+    input is read four times, so it is written once first.
     """
+    df = landed(df, "running-totals")
     rows = with_value_bucket(df, order, buckets)
     totals = rows.groupBy("_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     # At most ``buckets`` rows from here to the join.
