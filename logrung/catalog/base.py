@@ -74,7 +74,7 @@ def staged_logs(spark: SparkSession, sf: str) -> str:
     return root
 
 
-def staged_records(spark: SparkSession, sf: str, per_file: int = 500) -> str:
+def staged_records(spark: SparkSession, sf: str, per_file: int = 5000) -> str:
     """JSON array files of log records, at most ``per_file`` records each."""
     root = scratch_path(spark, "raw-records")
     logs = fixtures.logv(spark, sf)

@@ -45,7 +45,7 @@ def _(spark, sf):
 
 @query(
     "discover_files",
-    f"""{sql.WITH_LOGV} SELECT concat(dataset, '/part-', CAST(event_id // 500 AS VARCHAR), '.json') AS file, 'json' AS kind
+    f"""{sql.WITH_LOGV} SELECT concat(dataset, '/part-', CAST(event_id // 5000 AS VARCHAR), '.json') AS file, 'json' AS kind
         FROM logv GROUP BY 1 HAVING regexp_matches(file, 'part-[0-9]*[02468]\\.json')""",
 )
 def _(spark, sf):
@@ -57,7 +57,7 @@ def _(spark, sf):
 @query(
     "scan_directory_counts",
     f"""{_LINES}, per AS (SELECT concat(dataset, '/text') AS f FROM text_lines WHERE {sql.trimmed('raw_line')} <> ''
-          UNION ALL SELECT concat(dataset, '/', CAST(event_id // 500 AS VARCHAR)) FROM logv)
+          UNION ALL SELECT concat(dataset, '/', CAST(event_id // 5000 AS VARCHAR)) FROM logv)
         SELECT count(*) AS entries, count(DISTINCT f) AS files FROM per""",
 )
 def _(spark, sf):
@@ -70,7 +70,7 @@ def _(spark, sf):
 
 @query(
     "load_counters",
-    f"""{sql.WITH_LOGV} SELECT concat(dataset, '/part-', CAST(event_id // 500 AS VARCHAR), '.json') AS file, 'ok' AS status,
+    f"""{sql.WITH_LOGV} SELECT concat(dataset, '/part-', CAST(event_id // 5000 AS VARCHAR), '.json') AS file, 'ok' AS status,
         CAST(count(*) AS INTEGER) AS items, CAST(count(*) AS INTEGER) AS kept, 0 AS dropped FROM logv GROUP BY 1""",
 )
 def _(spark, sf):

@@ -67,7 +67,8 @@ _MATCHED = f"""{sql.WITH_MASKED}, known AS (SELECT id, t, string_split(t, ' ') A
 
 def _matched(spark, sf):
     known = spark.createDataFrame(_TEMPLATES, "template_id long, template string")
-    return tp.match_templates(masked_logs(spark, sf), known)
+    rows = masked_logs(spark, sf).select("event_id", "masked")
+    return tp.match_templates(landed(rows, "masked"), known)
 
 
 @query("template_match", f"{_MATCHED} SELECT event_id, template, matched, masked FROM matched")

@@ -75,9 +75,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Shuffle a table of fewer files than cores over all cores.
+
+    Parsing costs far more than moving a line; with enough input files the
+    scan is parallel already and nothing happens.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def logv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, dataset, line, detected_level): twelve line shapes."""
-    return spark.sql(_logv(_SPARK, "{events}"), events=table(spark, sf_dir, "events"))
+    events = spread(table(spark, sf_dir, "events").drop("props"))
+    return spark.sql(_logv(_SPARK, "{events}"), events=events)
 
 
 def scorev(spark: SparkSession, sf_dir: str) -> DataFrame:

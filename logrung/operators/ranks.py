@@ -40,7 +40,7 @@ def with_value_bucket(df: DataFrame, order: str, buckets: int = VALUE_BUCKETS) -
     """
     shares = [i / buckets for i in range(1, buckets)]
     bounds = df.agg(F.percentile_approx(order, shares, 10 * buckets).alias("b")).first()["b"]
-    inner = sorted({float(b) for b in bounds or []})
+    inner = sorted({float(b) for b in bounds or []}) or [0.0]
     place = Bucketizer(
         splits=[-math.inf, *inner, math.inf], inputCol="_order", outputCol="_bucket", handleInvalid="keep"
     )

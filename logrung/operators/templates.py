@@ -31,19 +31,16 @@ MAX_DEPTH = 8
 TEMPLATE_COLUMNS = ["template_id", "template", "n_tokens", "messages", "rows", "is_new"]
 
 
-def tokens(message: Column) -> Column:
-    """White-space-separated tokens; none for an empty message."""
-    clean = strip(message)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(
-        F.split(clean, r"(?U)[\s\x1c-\x1f]+")
-    )
+def spaced(message: Column) -> Column:
+    """The message with its tokens set apart by one blank."""
+    return F.regexp_replace(strip(message), r"(?U)[\s\x1c-\x1f]+", " ")
 
 
 def distinct_messages(df: DataFrame, message: str = "masked") -> DataFrame:
     """(text, rows): distinct non-empty messages with their row counts."""
     return (
         df.filter(F.col(message) != "")
-        .groupBy(F.array_join(tokens(F.col(message)), " ").alias("text"))
+        .groupBy(spaced(F.col(message)).alias("text"))
         .agg(F.count("*").alias("rows"))
         .filter("text != ''")
     )
@@ -177,6 +174,7 @@ def mine_templates(
     if stored is not None:
         seeds = stored.select(F.col("template").alias("text"), "rows", F.lit(True).alias("stored"))
         messages = messages.unionByName(seeds)
+    messages = landed(messages, "distinct-messages")
     leaves = _leaves(messages, max_children, leaf_rows, max_depth)
     mined = (
         leaves.select("leaf", "text", "rows", "stored")
@@ -253,9 +251,12 @@ def match_messages(messages: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def match_templates(df: DataFrame, templates: DataFrame, message: str = "masked") -> DataFrame:
-    """Append template and matched; a miss has the miss marker as template."""
-    text = F.array_join(tokens(F.col(message)), " ")
-    rows = df.withColumn("_text", text)
+    """Append template and matched; a miss has the miss marker as template.
+
+    ``df`` is read twice, once for its distinct messages: land it first when
+    the mask is not stored yet.
+    """
+    rows = df.withColumn("_text", spaced(F.col(message)))
     found = match_messages(distinct_messages(df, message), templates).select(
         F.col("text").alias("_text"), "template_id", "template"
     )

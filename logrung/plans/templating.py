@@ -21,7 +21,8 @@ def mine_rows(parsed: DataFrame, stored: DataFrame | None = None, **settings) ->
 
 def match_rows(parsed: DataFrame, templates: DataFrame) -> DataFrame:
     """Parsed rows with masked, template_id, template and matched."""
-    return match_templates(with_masked(parsed, "message", "masked"), templates, "masked")
+    masked = landed(with_masked(parsed, "message", "masked"), "masked")
+    return match_templates(masked, templates, "masked")
 
 
 def template_job(
