@@ -1,8 +1,11 @@
 """Classifier, embedding, mixture and the jobs around them."""
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from logrung.functions.vectors import argmax, gce_loss, label_probability, mean_pool, softmax, wce_loss
@@ -15,6 +18,9 @@ from logrung.sources.records import REQUEST_SCHEMA
 from logrung.sources.sinks import load_model, save_model
 from logrung.streaming.score import read_line_stream, read_request_stream, score_request_stream, write_scores
 
+# The workers cannot import this file, so its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WORDS = {0: "enter leave", 1: "cache lookup", 2: "started ready", 3: "slow retry", 4: "failed refused", 5: "panic abort"}
 
 
@@ -59,8 +65,8 @@ def test_model_roundtrip(labelled, model, tmp_path):
 
 
 def test_best_model_by_macro_f1(labelled):
-    _, settings, score = classify.select_best(labelled, labelled, [{"reg": 50.0}, {"reg": 1e-3}], buckets=256, max_iter=10)
-    assert settings == {"reg": 1e-3} and score > 0.7
+    _, settings, score = classify.select_best(labelled, labelled, [{"buckets": 1}, {"buckets": 256}], max_iter=10)
+    assert settings == {"buckets": 256} and score > 0.7
     with pytest.raises(ValueError):
         classify.select_best(labelled, labelled, [])
 
