@@ -126,9 +126,9 @@ def _(spark, sf):
         "weighted": classify.model_scorer(classify.train_severity(rows)),
         "external": classify.external_scorer(_hash_model),
     }
-    parsed = parsed_logs(spark, sf).withColumn("raw_json", F.lit(None).cast("string"))
+    lines = fixtures.logv(spark, sf).withColumnRenamed("line", "raw_line").withColumn("raw_json", F.lit(None).cast("string"))
     out = scratch_path(spark, "evaluation")
-    done = evaluate_models(parsed, scorers, ["event_id"], "event_id", out=out)
+    done = evaluate_models(lines, scorers, ["event_id"], "event_id", "detected_level", out=out)
     return done["weighted"].metrics.unionByName(done["external"].metrics).drop("run_id")
 
 

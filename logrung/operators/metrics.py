@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrung.functions.levels import CANONICAL_LEVELS, UNKNOWN
@@ -180,14 +180,13 @@ def class_weights(labelled: DataFrame, label: str = "label", classes: int = len(
     """
     counts = labelled.groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n"))
     ids = labelled.sparkSession.range(classes).select(F.col("id").cast("int").alias("label"))
-    total = labelled.agg(F.count("*")).scalar()
-    return ids.join(counts, "label", "left").select(
-        "label",
-        F.coalesce("n", F.lit(0)).alias("n"),
-        F.when(total == 0, F.lit(1.0))
-        .otherwise(F.coalesce(total / (F.lit(float(classes)) * F.col("n")), F.lit(0.0)))
-        .alias("weight"),
+    # One row per class from here on.
+    filled = ids.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    weight = F.when(F.col("_total") == 0, F.lit(1.0)).otherwise(
+        F.coalesce(F.try_divide(F.col("_total"), F.lit(float(classes)) * F.col("n")), F.lit(0.0))
     )
+    return filled.withColumn("_total", total).select("label", "n", weight.alias("weight"))
 
 
 def direction_counts(scored: DataFrame) -> DataFrame:

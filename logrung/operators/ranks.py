@@ -79,8 +79,14 @@ def running_totals(
     ).drop("_bucket", *[f"_{m}_{s}" for m in measures for s in ("in", "shift")])
 
 
+def bucket_counts(df: DataFrame, strata: Sequence[str], bucket: Sequence[str]) -> DataFrame:
+    """(strata, bucket, _n), written for the passes that follow."""
+    return landed(df.groupBy(*strata, *bucket).agg(F.count("*").alias("_n")), "bucket-counts")
+
+
 def rank_cuts(
     df: DataFrame,
+    counts: DataFrame,
     wanted: DataFrame,
     strata: Sequence[str],
     bucket: Sequence[str],
@@ -88,29 +94,26 @@ def rank_cuts(
 ) -> DataFrame:
     """Sort position of the rows at the wanted ranks.
 
-    ``wanted`` has the strata, a ``tag`` and a ``rank`` (from 1). The result
-    has the strata, ``tag`` and ``cut``, a struct of (bucket, order) that row
-    positions compare with. ``bucket`` must be non-decreasing in sort order
-    and (bucket, order) unique within a stratum. Two passes over ``df``: one
-    counts, one reads the buckets in which a wanted rank falls.
+    ``counts`` comes from :func:`bucket_counts`; ``wanted`` has the strata, a
+    ``tag`` and a ``rank`` (from 1). The result has the strata, ``tag`` and
+    ``cut``, a struct of (bucket, order) that row positions compare with.
+    ``bucket`` must be non-decreasing in sort order and (bucket, order) unique
+    within a stratum. Only the buckets in which a wanted rank falls are read.
     """
     # A constant stands in for "no strata", so that both forms share one path.
     keys = list(strata) or ["_all"]
     if not strata:
-        df, wanted = df.withColumn("_all", F.lit(0)), wanted.withColumn("_all", F.lit(0))
-    counts = df.groupBy(*keys, *bucket).agg(F.count("*").alias("_n"))
+        df, counts, wanted = (t.withColumn("_all", F.lit(0)) for t in (df, counts, wanted))
     counts = counts.withColumn("_skipped", _before("_n", keys, bucket))
     hit = (
         counts.join(wanted, keys)
         .filter((F.col("_skipped") < F.col("rank")) & (F.col("rank") <= F.col("_skipped") + F.col("_n")))
         .select(*keys, *bucket, "tag", (F.col("rank") - F.col("_skipped")).alias("_nth"))
     )
-    # One row per stratum and tag. Written, so that its true size decides how
-    # the join below runs.
-    hit = landed(hit, "rank-buckets")
-    spots = hit.groupBy(*keys, *bucket).agg(
-        F.collect_set(F.struct("tag", "_nth")).alias("_wanted")
-    )
+    # One row per bucket in which a rank falls. Written, so that its true size
+    # decides how the join below runs.
+    spots = hit.groupBy(*keys, *bucket).agg(F.collect_set(F.struct("tag", "_nth")).alias("_wanted"))
+    spots = landed(spots, "rank-buckets")
     w = Window.partitionBy(*keys, *bucket).orderBy(*order)
     inside = (
         df.select(*keys, *bucket, *order)
@@ -133,12 +136,12 @@ def take_first(
 
     ``quotas`` has the strata and ``quota``; a quota of zero takes nothing and
     one above the supply takes all. The choice is a row-local comparison with
-    one cut per stratum.
+    one cut per stratum. ``df`` is read three times: land it first when it is
+    costly.
     """
     keys = list(strata)
-    supply = df.groupBy(*keys).agg(F.count("*").alias("_supply")) if keys else df.agg(
-        F.count("*").alias("_supply")
-    )
+    counts = bucket_counts(df, keys, bucket)
+    supply = counts.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_supply"))
     if keys:
         wanted = supply.join(quotas, keys)
     else:
@@ -146,7 +149,7 @@ def take_first(
     wanted = wanted.select(
         *keys, F.lit("end").alias("tag"), F.least("quota", "_supply").cast("long").alias("rank")
     ).filter("rank > 0")
-    cuts = rank_cuts(df, wanted, keys, bucket, order)
+    cuts = rank_cuts(df, counts, wanted, keys, bucket, order)
     position = F.struct(*bucket, *order)
     if keys:
         return (
@@ -159,7 +162,7 @@ def global_rank(
     df: DataFrame, bucket: Sequence[str], order: Sequence[str], name: str = "rank"
 ) -> DataFrame:
     """Append the exact 1-based rank over the whole table."""
-    counts = df.groupBy(*bucket).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
+    counts = bucket_counts(df, [], bucket).withColumn("_all", F.lit(0))
     shifts = landed(
         counts.select(*bucket, _before("_n", ["_all"], bucket).alias("_shift")), "rank-shifts"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logrung.operators.ranks import (
     HASH_DIGITS,
+    bucket_counts,
     global_rank,
     hash_bucket,
     hash_key,
@@ -146,12 +147,16 @@ def first_rows(df: DataFrame, n: int, bucket: Sequence[str], order: Sequence[str
     return take_first(df, quota, [], bucket, order)
 
 
+def kept_class() -> Column:
+    return F.col("n") >= MIN_CLASS_ROWS
+
+
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows per class, with ``kept`` false below the floor for splitting."""
     return (
         df.groupBy(label)
         .agg(F.count("*").alias("n"))
-        .withColumn("kept", F.col("n") >= MIN_CLASS_ROWS)
+        .withColumn("kept", kept_class())
     )
 
 
@@ -206,9 +211,12 @@ def stratified_split(
     """Append ``split`` (train / validation / test) after dropping rare classes.
 
     Two cuts per class decide every row by comparison; no row is shuffled.
+    ``df`` is read three times: land it first when it is costly.
     """
-    sizes = landed(split_sizes(class_counts(df, label), ratios, label), "split-sizes")
     keyed = with_hash_order(df, seed, *ids)
+    counts = bucket_counts(keyed, [label], ["_bucket"])
+    classes = counts.groupBy(label).agg(F.sum("_n").alias("n")).withColumn("kept", kept_class())
+    sizes = landed(split_sizes(classes, ratios, label), "split-sizes")
     train_end, validation_end = F.col("n_train"), F.col("n_train") + F.col("n_validation")
     wanted = sizes.select(
         label,
@@ -219,7 +227,7 @@ def stratified_split(
             )
         ).alias("w"),
     ).select(label, "w.tag", "w.rank")
-    cuts = rank_cuts(keyed, wanted, [label], ["_bucket"], ["_key"])
+    cuts = rank_cuts(keyed, counts, wanted, [label], ["_bucket"], ["_key"])
     by_label = cuts.groupBy(label).agg(
         F.max(F.when(F.col("tag") == "train", F.col("cut"))).alias("_train_cut"),
         F.max(F.when(F.col("tag") == "validation", F.col("cut"))).alias("_validation_cut"),

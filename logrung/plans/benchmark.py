@@ -20,7 +20,7 @@ SAMPLE_ROWS = 10_000
 def benchmark_rows(parsed: DataFrame, ids: Sequence[str], n: int = SAMPLE_ROWS, seed: int = SPLIT_SEED) -> DataFrame:
     """A sample of rows whose upper-cased raw level is not UNKNOWN."""
     valid = parsed.withColumn("true_label", F.upper("line_level")).filter(F.col("true_label") != UNKNOWN)
-    return uniform_sample(valid, n, ids, seed)
+    return uniform_sample(landed(valid.select(*ids, "message", "true_label"), "valid-rows"), n, ids, seed)
 
 
 def benchmark_models(

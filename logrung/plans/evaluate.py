@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logrung.functions.levels import canonical_level
 from logrung.functions.masking import with_masked
+from logrung.functions.parsing import parse_lines
 from logrung.functions.severity import THRESHOLD, score_mismatch
 from logrung.operators import metrics
 from logrung.operators.classify import Scorer
@@ -106,24 +107,28 @@ def evaluate_rows(
 
 
 def evaluate_models(
-    parsed: DataFrame,
+    rows: DataFrame,
     scorers: dict[str, Scorer],
     ids: Sequence[str],
     row_id: str | None = None,
+    detected: str | None = None,
     sample_rows: int = SAMPLE_ROWS,
     seed: int = SPLIT_SEED,
     out: str | None = None,
 ) -> dict[str, Evaluation]:
-    """Evaluate several models on one sample of a parsed corpus."""
-    sample = uniform_sample(parsed, sample_rows, ids, seed).withColumn(
-        "true_label", canonical_level(F.col("line_level"))
-    )
+    """Evaluate several models on one sample of a raw corpus.
+
+    ``rows`` has raw_line, and the metadata level in ``detected``. The sample
+    is drawn first, so that only its rows are parsed and masked.
+    """
+    sample = parse_lines(uniform_sample(rows, sample_rows, ids, seed), "raw_line", detected)
     masked = with_masked(sample, "message", "_masked")
-    rows = landed(
-        masked.withColumn("message", F.col("_masked")).drop("_masked"), "evaluation-rows"
+    chosen = masked.withColumn("message", F.col("_masked")).withColumn(
+        "true_label", canonical_level(F.col("line_level"))
     )
+    chosen = landed(chosen.drop("_masked"), "evaluation-rows")
     return {
-        name: evaluate_rows(rows, scorer, name, row_id, out) for name, scorer in scorers.items()
+        name: evaluate_rows(chosen, scorer, name, row_id, out) for name, scorer in scorers.items()
     }
 
 

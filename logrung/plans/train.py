@@ -33,7 +33,7 @@ def training_rows(
     """
     rows = parsed.withColumn("label", level_id(F.col("line_level"))).filter("label IS NOT NULL")
     if max_rows is not None:
-        rows = first_rows(rows, max_rows, bucket, order)
+        rows = first_rows(landed(rows, "labelled-rows"), max_rows, bucket, order)
     return with_masked(rows, "message", "text").select(*ids, "text", "label")
 
 
@@ -58,6 +58,7 @@ def train_models(
 
     ``grid`` lists settings to choose from by validation macro F1.
     """
+    rows = landed(rows, "training-rows")
     split = landed(stratified_split(rows, ids, seed=seed), "split")
     train, validation, test = (
         split.filter(F.col("split") == part) for part in ("train", "validation", "test")
