@@ -18,7 +18,9 @@ from logrung.sources.sinks import auto_labeled, incorrect_predictions, predictio
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Round for comparison; ten digits first, so that the last bits of a sum
+    cannot tip a value that lies exactly between two."""
+    return df.withColumns({c: F.round(F.round(c, 10), digits) for c in columns})
 
 
 _KNOWN = "true_label <> 'UNKNOWN'"
@@ -166,7 +168,7 @@ def _(spark, sf):
     "accuracy",
     f"""{sql.WITH_SCORED} SELECT count(*) AS total, count_if({_KNOWN}) AS known, count_if({_RIGHT}) AS correct,
         round(count_if({_RIGHT}) * 1e2 / count_if({_KNOWN}), 6) AS accuracy,
-        round(avg(confidence) FILTER ({_KNOWN}), 6) AS mean_confidence FROM scored""",
+        round(round(avg(confidence) FILTER ({_KNOWN}), 10), 6) AS mean_confidence FROM scored""",
 )
 def _(spark, sf):
     return rounded(metrics.accuracy(scored_rows(spark, sf)), "accuracy", "mean_confidence")
@@ -174,8 +176,8 @@ def _(spark, sf):
 
 @query(
     "confidence_means",
-    f"""{sql.WITH_SCORED} SELECT round(avg(confidence), 6) AS mean_all, round(avg(confidence) FILTER ({_RIGHT}), 6) AS mean_correct,
-        round(avg(confidence) FILTER (NOT ({_RIGHT}) AND {_KNOWN}), 6) AS mean_wrong FROM scored""",
+    f"""{sql.WITH_SCORED} SELECT round(round(avg(confidence), 10), 6) AS mean_all, round(round(avg(confidence) FILTER ({_RIGHT}), 10), 6) AS mean_correct,
+        round(round(avg(confidence) FILTER (NOT ({_RIGHT}) AND {_KNOWN}), 10), 6) AS mean_wrong FROM scored""",
 )
 def _(spark, sf):
     return rounded(metrics.confidence_means(scored_rows(spark, sf)), "mean_all", "mean_correct", "mean_wrong")
@@ -195,7 +197,7 @@ _LABELS = f"""known AS (SELECT * FROM scored WHERE {_KNOWN}),
 @query(
     "per_class",
     f"""{sql.WITH_SCORED}, {_LABELS} SELECT label, round(recall * 100, 6) AS recall_pct, round(precision * 100, 6) AS precision_pct,
-        round(mean_confidence, 6) AS mean_confidence, support FROM rates WHERE support > 0""",
+        round(round(mean_confidence, 10), 6) AS mean_confidence, support FROM rates WHERE support > 0""",
 )
 def _(spark, sf):
     return rounded(metrics.per_class(scored_rows(spark, sf)), "recall_pct", "precision_pct", "mean_confidence")
