@@ -101,6 +101,24 @@ def _(spark, sf):
     return reduce_dims(fixtures.emb(spark, sf), 100).select("vec_id", "reduced")
 
 
+# All components together keep the variance, and they are uncorrelated.
+@query(
+    "pca_variance",
+    """SELECT count(*) AS components, round(sum(v), 6) AS variance, CAST(0 AS DOUBLE) AS largest_overlap
+       FROM (SELECT var_samp(CAST(x AS DOUBLE)) AS v FROM (
+         SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY d)""",
+)
+def _(spark, sf):
+    reduced = landed(reduce_dims(fixtures.emb(spark, sf), 100).select("vec_id", "reduced"), "reduced")
+    flat = reduced.select(F.posexplode("reduced").alias("d", "x"))
+    variance = flat.groupBy("d").agg(F.var_samp("x").alias("v")).agg(
+        F.count("*").alias("components"), F.round(F.sum("v"), 6).alias("variance")
+    )
+    overlaps = [F.abs(F.covar_samp(F.col("reduced")[i], F.col("reduced")[i + 1])) for i in range(0, 8, 2)]
+    overlap = reduced.agg(F.round(F.greatest(*overlaps), 6).alias("largest_overlap"))
+    return variance.withColumn("largest_overlap", overlap.scalar())
+
+
 @query("bayes_gmm")
 def _(spark, sf):
     vectors = landed(reduce_dims(fixtures.emb(spark, sf), 16).select("vec_id", "label", "reduced"), "vectors")

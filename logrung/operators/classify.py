@@ -141,15 +141,19 @@ def model_scorer(model: PipelineModel, text: str = "message") -> Scorer:
     return lambda df: score_batch(model, df, text)
 
 
-def label_from_logits(df: DataFrame, logits: str = "logits", fallback: str = UNKNOWN) -> DataFrame:
-    """Append predicted_label and confidence from an array of logits."""
-    p = df.withColumn("_p", softmax(F.col(logits)))
+def label_from_logits(df: DataFrame, logits: str = "logits", numbered: bool = False) -> DataFrame:
+    """Append predicted_label and confidence from an array of logits.
+
+    A class outside the six is UNKNOWN, or CLASS_ID_<n> when ``numbered``.
+    """
+    p = df.withColumn("_p", softmax(F.col(logits))).withColumn("_class", argmax(F.col("_p")))
+    other = F.concat(F.lit("CLASS_ID_"), "_class") if numbered else F.lit(UNKNOWN)
     return p.withColumns(
         {
-            "predicted_label": level_name(argmax(F.col("_p")), fallback),
+            "predicted_label": F.coalesce(level_name(F.col("_class")), other),
             "confidence": F.array_max("_p") * 100,
         }
-    ).drop("_p")
+    ).drop("_p", "_class")
 
 
 def external_scorer(factory: LogitFactory, text: str = "message") -> Scorer:

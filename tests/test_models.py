@@ -160,6 +160,12 @@ def test_vector_functions(spark):
         gce_loss(F.lit(0.5), 0.0)
 
 
+def test_labels_outside_the_six(spark):
+    df = spark.createDataFrame([([0.0] * 7 + [3.0],), ([9.0] + [0.0] * 7,)], "logits array<double>")
+    assert [r.predicted_label for r in classify.label_from_logits(df).collect()] == ["UNKNOWN", "TRACE"]
+    assert classify.label_from_logits(df, numbered=True).first().predicted_label == "CLASS_ID_7"
+
+
 def test_pca_matches_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 5)) * [5, 3, 1, 0.5, 0.1] + 100
