@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logrung.session import landed
+
 # Fewest points for a covariance, and standard deviations drawn.
 MIN_POINTS = 4
 N_STD = 2.0
@@ -45,11 +47,11 @@ def cluster_outliers(
     df: DataFrame, cluster: str = "cluster", level: str = "level", message: str = "message", row_id: str = "row_id"
 ) -> DataFrame:
     """(row_id, cluster, outlier): one report line per row off its majority."""
-    # One row per mixture component.
     majority = cluster_purity(df, cluster, level, row_id).select(
         F.col("cluster").alias("_cluster"), "majority_level"
     )
-    off = df.join(F.broadcast(majority), F.col(cluster) == F.col("_cluster")).filter(
+    majority = landed(majority, "cluster-majority")
+    off = df.join(majority, F.col(cluster) == F.col("_cluster")).filter(
         F.col(level) != F.col("majority_level")
     )
     line = F.format_string("[Cluster %d] Tagged as [%s]: %s", F.col(cluster), F.col(level), F.col(message))

@@ -232,9 +232,10 @@ def stratified_split(
         F.max(F.when(F.col("tag") == "train", F.col("cut"))).alias("_train_cut"),
         F.max(F.when(F.col("tag") == "validation", F.col("cut"))).alias("_validation_cut"),
     )
-    # At most one row per class of the level scale.
     position = F.struct("_bucket", "_key")
-    bounded = keyed.join(F.broadcast(sizes.select(label).join(by_label, label, "left")), label)
+    # One row per class, written, so that the join goes by its true size.
+    bounds = landed(sizes.select(label).join(by_label, label, "left"), "split-bounds")
+    bounded = keyed.join(bounds, label)
     return bounded.withColumn(
         "split",
         F.when(position <= F.col("_train_cut"), "train")
