@@ -75,6 +75,8 @@ def cluster_logs(parsed: DataFrame, row_id: str = "row_id", out: str | None = No
     rows = landed(
         rows.select(row_id, "level", F.col("_masked").alias("message")), "cluster-rows"
     )
+    if rows.isEmpty():
+        raise ValueError("no messages of known level to cluster")
     embedded = landed(embed_messages(fit_embedder(rows), rows), "embedded")
     result = cluster_vectors(embedded, row_id=row_id, **settings)
     if out is not None:
