@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logrung.llm import checks
 from logrung.llm.mixing import repetitions
+from logrung.llm.parity_join import jaccard_components
 from logrung.llm.packing import pack, token_pieces
 from logrung.llm.registry import query, table
 from logrung.llm.token_store import read_documents, write_tokens
@@ -30,6 +31,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_ngram_jaccard", checks.JACCARD)
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingles overlap by nine tenths or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
