@@ -98,7 +98,7 @@ def part_keys(hashes: np.ndarray, band: Band, limit: Threshold) -> np.ndarray:
     held = np.zeros(band.parts, np.int64)
     held[full] = count
     chosen = np.argsort(-held, kind="stable")[: allowed + 1]
-    salt = mix64(np.uint64(band.number + 1) * _ROUND + chosen.astype(np.uint64))
+    salt = mix64(np.array([band.number + 1], np.uint64) * _ROUND + chosen.astype(np.uint64))
     keys = mix64(parity[chosen] ^ salt)
     return (keys >> np.uint64(_BAND_BITS) << np.uint64(_BAND_BITS)) | np.uint64(band.number)
 
@@ -113,8 +113,8 @@ def bit_sketch(hashes: np.ndarray, band: Band) -> bytes:
 def set_id(hashes: np.ndarray) -> int:
     """A 64-bit id of a sorted set; equal sets have equal ids."""
     place = np.arange(1, len(hashes) + 1, dtype=np.uint64) * _ROUND
-    total = np.bitwise_xor.reduce(mix64(hashes + place)) if len(hashes) else np.uint64(0)
-    return int(mix64(total + np.uint64(len(hashes))).view(np.int64))
+    total = np.bitwise_xor.reduce(mix64(hashes + place), keepdims=True)
+    return int(mix64(total + np.uint64(len(hashes))).view(np.int64)[0])
 
 
 def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:

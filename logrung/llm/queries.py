@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logrung.llm import checks
+from logrung.llm.bit_sliced import search_table
 from logrung.llm.mixing import repetitions
 from logrung.llm.parity_join import jaccard_components
 from logrung.llm.packing import pack, token_pieces
 from logrung.llm.registry import query, table
 from logrung.llm.token_store import read_documents, write_tokens
+from logrung.llm.url_filter import build_digests, judge
 
 
 @query("op1_token_output")
@@ -22,6 +24,23 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, manifest)
 
 
+@query("op2_bit_sliced_top_k", checks.TOP_K)
+def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector, against all rows."""
+    return search_table(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 256.0, 5)
+
+
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+@query("op3_url_filter", checks.URL_FILTER)
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    shards = build_digests(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), shards)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op5_mixing", checks.MIXING)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
