@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from logrung.llm import checks
 from logrung.llm.bit_sliced import search_table
+from logrung.llm.decision_list import quality_table
 from logrung.llm.mixing import repetitions
 from logrung.llm.parity_join import jaccard_components
 from logrung.llm.packing import pack, token_pieces
 from logrung.llm.registry import query, table
+from logrung.llm.rule_ensemble import quality_scores
 from logrung.llm.token_store import read_documents, write_tokens
 from logrung.llm.url_filter import build_digests, judge
 
@@ -56,6 +58,20 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+@query("op7_rule_ensemble")
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_decision_list")
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the verdict of the learned list on every document."""
+    found = quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *[F.col(f"_stats.{c}").alias(c) for c in base], "base_failed", "kept", "rule")
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
