@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logrung.llm import checks
 from logrung.llm.bit_sliced import search_table
 from logrung.llm.decision_list import quality_table
+from logrung.llm.language_id import language_table
 from logrung.llm.mixing import repetitions
 from logrung.llm.parity_join import jaccard_components
 from logrung.llm.packing import pack, token_pieces
@@ -72,6 +73,12 @@ def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"_stats.{c}").alias(c) for c in base], "base_failed", "kept", "rule")
 
 
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language_table(spark, table(spark, sf_dir, "documents"))
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
