@@ -35,8 +35,8 @@ TEXTS_PER_LANGUAGE = 4000
 CALIBRATION_SHARE = 8
 #: Characters beyond which more text makes a cross-entropy no surer.
 _SURE = 400
-#: Half a nat for each character of a long text, about two for a text of twenty.
-LEAST_LIMIT = 10.0
+#: One nat for each character of a long text, more for shorter ones; texts in several languages stay.
+LEAST_LIMIT = 20.0
 _SLICE = 1 << 21
 UNKNOWN = "und"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logrung.llm import checks
 from logrung.llm.bit_sliced import search_table
 from logrung.llm.decision_list import quality_table
+from logrung.llm.html_template import extract_main_text
 from logrung.llm.language_id import language_table
 from logrung.llm.mixing import repetitions
 from logrung.llm.parity_join import jaccard_components
@@ -44,6 +45,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op4_html_template")
+def op4_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op5_mixing", checks.MIXING)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
