@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logrung.llm.text_stats import STATS, labelled_sample, with_stats
+from logrung.llm.text_stats import STATS, label_marks, labelled_sample, text_stats, with_stats
 from logrung.session import landed
 
 #: Bound of the labelled rows of a fit.
@@ -177,29 +177,38 @@ def rejecting_rule(rules: list[Rule], stats: str = "_stats") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> list[Rule]:
-    """Rules from the labelled rows of ``docs``, a bounded sample of them above ``limit``."""
+    """Rules from the labelled rows of ``docs``, a bounded sample of them above ``limit``.
+
+    The ids of the sample are broadcast: they are ``limit`` at most, give or take the draw.
+    """
+    marks = landed(label_marks(labels, "quality", limit), "label-marks")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    some = own.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    stats = with_stats(some).select("doc_id", "_stats.*")
-    return learn_rules(labelled_sample(stats, labels, "quality", limit))
+    some = own.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi")
+    return learn_rules(labelled_sample(with_stats(some).select("doc_id", "_stats.*"), marks))
 
 
-def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` with ``_stats``, ``base_failed``, ``rule`` (first that fires) and ``kept``.
+def kept_rows(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and that no learned rule rejects.
 
     Null texts are empty; texts of fewer than ten words fail the base rules.
-    Row-local: repeated rows are judged alike, an empty table gives no rows.
+    Row-local: repeated rows are judged alike, an empty table gives no rows,
+    other columns pass through whatever their names.
     """
-    return with_stats(docs).withColumns(
-        {"base_failed": base_failed(), "rule": rejecting_rule(rules)}
-    ).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        text_stats(F.col("text").cast("string")).alias("_stats"),
+    )
+    return whole.where(~base_failed() & rejecting_rule(rules).isNull()).select("row.*")
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, statistics, base_failed, rule, kept) of each row; the statistics are taken once and written."""
+    """(doc_id, _stats, base_failed, rule, kept) of each row; the statistics are taken once and written.
+
+    ``rule`` is the number of the first learned rule that fires, else null.
+    """
     stats = landed(with_stats(docs.select("doc_id", "text")).select("doc_id", "_stats"), "quality-stats")
     rows = stats.select(F.col("doc_id").cast("long").alias("doc_id"), "_stats.*")
-    rules = learn_rules(labelled_sample(rows, labels, "quality", limit))
+    rules = learn_rules(labelled_sample(rows, label_marks(labels, "quality", limit)))
     return stats.withColumns({"base_failed": base_failed(), "rule": rejecting_rule(rules)}).withColumn(
         "kept", ~F.col("base_failed") & F.col("rule").isNull()
     )

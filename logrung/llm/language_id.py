@@ -19,7 +19,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -367,25 +367,28 @@ def predictor(path: str):
     return predict
 
 
-def identified(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """``docs`` with the struct ``_language`` and ``_held_out``; fold ``held_out`` of ``folds`` trains nothing.
+def training_rows(doc_id: Column, folds: int = 4, held_out: int = 2) -> Column:
+    """All folds but ``held_out``."""
+    return fold_of(doc_id, folds) != held_out
 
-    Row-local after the fit: repeated rows get the same answer, an empty table
-    gives no rows, other columns pass through.
-    """
-    outside = fold_of(F.col("doc_id"), folds) == held_out
-    path = train(docs, ~outside)
-    return docs.withColumns(
-        {"_held_out": outside, "_language": predictor(path)(F.col("text").cast("string"))}
-    )
 
+def language_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, accepted) of each row.
 
-def language_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, accepted) of each row."""
-    return identified(docs).select(
-        "doc_id",
-        F.col("_held_out").alias("held_out"),
-        F.col("_language.lang_pred").alias("lang_pred"),
-        F.col("_language.score").alias("score"),
-        F.col("_language.accepted").alias("accepted"),
+    Row-local after the fit: repeated rows get the same answer, an empty table
+    gives no rows.
+    """
+    learn = training_rows(F.col("doc_id"))
+    path = train(docs, learn)
+    found = docs.select("doc_id", (~learn).alias("held_out"), predictor(path)(F.col("text").cast("string")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.accepted")
+
+
+def accepted_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language some model accepts; other columns pass through whatever their names."""
+    path = train(docs, training_rows(F.col("doc_id")))
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        predictor(path)(F.col("text").cast("string")).alias("found"),
     )
+    return whole.where("found.accepted").select("row.*")

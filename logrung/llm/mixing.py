@@ -60,83 +60,110 @@ def source_targets(
     return marked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def repetitions(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    max_epochs: float = MAX_EPOCHS,
-    seed: int = SEED,
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) and ``keep`` for each row of ``docs``.
-
-    A source with target t and size s is taken floor(t / s) times whole. For
-    the rest, its documents are put in the order of md5(seed:doc_id) and taken
-    once more while the middle of the document's words lies within what is
-    left; so the words taken miss the target by at most half of one document.
-    No document is taken more than ``max_epochs`` times. The draw depends on
-    the seed and ids only, not on partitions.
+def draw_of(doc_id: Column, seed: int = SEED) -> Column:
+    """The draw of an id: md5 of seed and id as text, a null id as empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
-    No source is ordered as a whole: words are summed by the first digits of
-    the draw, prefix sums run over those sums, and only the one bucket in
-    which a source's rest ends is ordered row by row.
 
-    A null source is a source of its own; null or empty text has size 0; a
-    null id draws as the empty string; rows with equal id and size are taken
-    alike or in sequence, whichever is which makes no difference; an empty
-    table gives no rows.
-    """
-    spark = docs.sparkSession
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = landed(
+def sized_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, draw) of each row, written once; texts are read here only."""
+    return landed(
         docs.select(
             F.col("doc_id").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
-            word_count(F.col("text")).alias("size"),
-            draw.alias("draw"),
-            *[F.struct(*map(F.col, keep)).alias("kept")] * bool(keep),
+            word_count(F.col("text").cast("string")).alias("size"),
+            draw_of(F.col("doc_id"), seed).alias("draw"),
         ),
         "mix-sizes",
     )
+
+
+def mix_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """(source, source_size, target, whole, cut) of each source; see ``copies_of``.
+
+    A source with target t and size s is taken floor(t / s) times whole. For
+    the rest, its ids are put in the order of their draws and taken once more
+    while the middle of an id's words lies within what is left; ``cut`` is the
+    last draw that is taken, so the words taken miss the target by at most half
+    of what one id holds.
+
+    No source is ordered as a whole: words are summed by the first digits of
+    the draw, prefix sums run over those sums, and only the one bucket in which
+    a source's rest ends is ordered by draw.
+    """
     ordered = sized.withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS))
-    buckets = landed(
-        ordered.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets"
-    )
+    buckets = landed(ordered.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     sources = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
-    targets = source_targets(sources, weights, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.least(F.floor(rate), F.lit(int(max_epochs)).cast("long"))
-    rest = F.col("target") - whole * F.col("source_size")
-    plan = landed(targets.select("source", "source_size", "target", whole.alias("whole"), rest.alias("rest")), "mix-plan")
+    plan = landed(
+        source_targets(sources, weights, max_epochs)
+        .withColumn("whole", whole)
+        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")),
+        "mix-plan",
+    )
+    one = plan.select(F.col("source").alias("s"), "rest")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = landed(
+    ends = landed(
         buckets.select("*", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("begin"))
-        .join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .select("source", "bucket", "begin", "bucket_size", "rest")
-        # Only the bucket in which the rest ends needs an order of its own.
-        .where((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("bucket_size") >= F.col("rest"))),
-        "mix-cuts",
+        .join(one, F.col("source").eqNullSafe(F.col("s")))
+        .where((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("bucket_size") >= F.col("rest")))
+        .select("source", "bucket", "begin", "rest"),
+        "mix-ends",
+    )
+    cell = ends.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "begin", "rest")
+    # An id that many rows repeat is one row here.
+    inside = (
+        ordered.groupBy("source", "bucket", "draw")
+        .agg(F.sum("size").alias("size"))
+        .join(cell, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     )
-    inside = Window.partitionBy("source").orderBy("draw", "doc_id", "size", "row")
-    upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = (
-        ordered.join(
-            begins.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "begin", "rest"),
-            F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")),
-        )
-        .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("upto", F.col("begin") + upto)
-        .withColumn("extra", (2 * F.col("upto") - F.col("size") <= 2 * F.col("rest")).cast("int"))
+    upto = F.sum("size").over(
+        Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    cuts = begins.select(F.col("source").alias("cs"), F.col("bucket").alias("cut"))
-    planned = plan.join(cuts, F.col("source").eqNullSafe(F.col("cs")), "left").drop("cs")
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies", *["kept"] * bool(keep)]
-    joined = ordered.join(planned.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    clear = joined.where(F.col("cut").isNull() | (F.col("bucket") != F.col("cut"))).withColumn(
-        "copies",
-        F.col("whole") + F.coalesce((F.col("bucket") < F.col("cut")).cast("int"), F.lit(0)),
+    taken = inside.withColumn("upto", F.col("begin") + upto).where(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"))
+    last = taken.groupBy(F.col("source").alias("s")).agg(F.max("draw").alias("last"))
+    cuts = ends.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("cs"), F.coalesce("last", "bucket").alias("cut")
+    )
+    return landed(
+        plan.join(cuts, F.col("source").eqNullSafe(F.col("cs")), "left").select(
+            "source", "source_size", "target", "whole", "cut"
+        ),
+        "mix-cuts",
+    )
+
+
+def copies_of(draw: Column, plan: str = "plan") -> Column:
+    """How often a row is taken: the whole rounds of its source, and once more up to the cut."""
+    return F.col(f"{plan}.whole") + F.coalesce((draw <= F.col(f"{plan}.cut")).cast("long"), F.lit(0))
+
+
+def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row of ``docs``.
+
+    The draw depends on the seed and ids only, not on partitions; reruns agree.
+    No row is taken more than ``max_epochs`` times. A null source is a source of
+    its own; null or empty text has size 0; a null id draws as the empty text;
+    rows that repeat an id are taken alike; an empty table gives no rows.
+    """
+    sized = sized_rows(docs, seed)
+    plan = mix_plan(sized, weights, max_epochs).alias("plan")
+    joined = sized.alias("rows").join(plan, F.col("rows.source").eqNullSafe(F.col("plan.source")))
+    return joined.select(
+        "rows.doc_id",
+        "rows.size",
+        "plan.source_size",
+        "plan.target",
+        (F.col("rows.size") * copies_of(F.col("rows.draw"))).cast("long").alias("taken"),
     )
-    cut = edge.drop("s", "b", "rest").join(
-        plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
-    ).withColumn("copies", F.col("whole") + F.col("extra"))
-    both = clear.select(columns).unionByName(cut.select(columns))
-    return both.select(*[c for c in columns if c != "kept"], *["kept.*"] * bool(keep))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows that the mix takes, each as often as it is taken, with the columns of ``docs``."""
+    plan = mix_plan(sized_rows(docs, seed), weights, max_epochs).alias("plan")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = whole.join(plan, F.col("row.source").cast("string").eqNullSafe(F.col("plan.source")))
+    copies = copies_of(draw_of(F.col("row.doc_id"), seed))
+    repeated = joined.select("row", copies.cast("int").alias("copies")).where("copies > 0")
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

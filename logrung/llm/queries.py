@@ -11,7 +11,7 @@ from logrung.llm.bit_sliced import search_table
 from logrung.llm.decision_list import quality_table
 from logrung.llm.html_template import extract_main_text
 from logrung.llm.language_id import language_table
-from logrung.llm.mixing import repetitions
+from logrung.llm.mixing import mixed_sizes
 from logrung.llm.parity_join import jaccard_components
 from logrung.llm.packing import pack, token_pieces
 from logrung.llm.registry import query, table
@@ -54,16 +54,14 @@ def op4_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_mixing", checks.MIXING)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
-    mixed = repetitions(table(spark, sf_dir, "documents"))
-    return mixed.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
-    )
+    return mixed_sizes(table(spark, sf_dir, "documents"))
 
 
 @query("op6_ngram_jaccard", checks.JACCARD)
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingles overlap by nine tenths or more."""
-    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    found = jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op7_rule_ensemble")
@@ -83,7 +81,7 @@ def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
-    return language_table(spark, table(spark, sf_dir, "documents"))
+    return language_table(table(spark, sf_dir, "documents"))
 
 
 @query("op10_best_fit_packing")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logrung.llm.decision_list import FEATURES, LABELLED_ROWS, Condition, Rule
-from logrung.llm.text_stats import fold_of, labelled_sample, with_stats
+from logrung.llm.text_stats import fold_of, label_marks, labelled_sample, with_stats
 from logrung.session import landed
 
 N_TREES = 24
@@ -163,7 +163,7 @@ def quality_scores(
     held_out = fold_of(F.col("doc_id"), folds) == 0
     learn = stats.where(~held_out).select(F.col("doc_id").cast("long").alias("doc_id"), "_stats.*")
     usable = labels.where(fold_of(F.col("doc_id"), folds) != 0)
-    model = fit_rows(labelled_sample(learn, usable, "quality", limit))
+    model = fit_rows(labelled_sample(learn, label_marks(usable, "quality", limit)))
     score = F.least(F.greatest(model.score(), F.lit(0.0)), F.lit(1.0))
     return stats.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= cut).cast("int")

@@ -147,12 +147,12 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, limit: int) -> pd.DataFrame:
-    """At most about ``limit`` rows of statistics with ``label`` 0 or 1, drawn by a hash of the id.
+def label_marks(labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """(doc_id, label): at most about ``limit`` ids with label 0 or 1, drawn by a hash of the id.
 
-    The bound keeps the fit on the driver small whatever the table's size; all
-    rows enter below it. Ids with several labels take the smallest, null ids,
-    labels and other values are left out. ``stats`` has doc_id and STATS.
+    The bound keeps a fit on the driver small whatever the table's size; all
+    ids enter below it. Ids with several labels take the smallest; null ids,
+    null labels and other values are left out.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -163,7 +163,14 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, limit: int)
     total = marked.count()
     if total > limit:
         # The same share of the hash range for every label.
-        share = limit / total
-        marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = stats.join(marked, "doc_id").select("doc_id", "label", *STATS).toPandas()
-    return rows.sort_values(["doc_id", *STATS], kind="stable", ignore_index=True)
+        marked = marked.where(
+            F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * limit / total)
+        )
+    return marked
+
+
+def labelled_sample(stats: DataFrame, marks: DataFrame) -> pd.DataFrame:
+    """The statistics (doc_id, STATS) of marked rows with their ``label``, one for each id, in a fixed order."""
+    rows = stats.join(marks, "doc_id").select("doc_id", "label", *STATS).toPandas()
+    rows = rows.sort_values(["doc_id", *STATS], kind="stable")
+    return rows.drop_duplicates("doc_id", ignore_index=True)
