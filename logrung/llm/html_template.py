@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logrung.llm.html_blocks import Run, joined, walk
 from logrung.llm.url_filter import host_of
@@ -159,7 +160,7 @@ def main_text(html: str | None, furniture: list[str] | None) -> str:
     return joined([r for r in runs if r.path not in fixed])
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _extract(html: pa.Array, furniture: pa.Array) -> pa.Array:
     return pa.array([main_text(h, f) for h, f in zip(html.to_pylist(), furniture.to_pylist(), strict=True)], pa.string())
 
