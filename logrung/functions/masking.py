@@ -18,14 +18,30 @@ class MaskRule:
     pattern: str
     replacement: str
     needs: str | None = None
+    #: (pattern, replacement) applied before the rule; what it inserts is taken out again.
+    parts: tuple[str, str] | None = None
 
 
+#: Parts a text where a dotted name cannot go on; no character of any text.
+_PART = "\uffff"
+
 # Patterns and placeholders, in the order they apply.
 MASK_RULES = (
     MaskRule("ansi", r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])", "", "\x1b"),
     MaskRule("bracket", r"\[[^\]]+\]", "<MASKED_INFO>", "["),
-    MaskRule("class", r"\b(?:[a-zA-Z0-9_]+\.)+[A-Z][a-zA-Z0-9_]+\b", "<CLASS_NAME>", "."),
-    MaskRule("composite", r"\b\d+(?:_\d+)+\b", "<COMPOSITE_ID>", "_"),
+    # The same names as \b(?:[a-zA-Z0-9_]+\.)+[A-Z][a-zA-Z0-9_]+\b, without a repeated
+    # group: the engine would recurse once for each dot. A dotted run is tried from its
+    # first name only, so a run that fails is read once. Runs are parted between two dots,
+    # and behind a first name that no word boundary begins.
+    MaskRule(
+        "class",
+        r"(?<![a-zA-Z0-9_]\.)\b[a-zA-Z0-9_][a-zA-Z0-9_.]*(?<=[a-zA-Z0-9_]\.)[A-Z][a-zA-Z0-9_]+\b",
+        "<CLASS_NAME>",
+        ".",
+        (r"(\.)(?=\.)|(?<=[\w&&[^a-zA-Z0-9_]])([a-zA-Z0-9_]++\.)", f"$1$2{_PART}"),
+    ),
+    # Possessive, for the same reason; no shorter form of a run ends at a boundary.
+    MaskRule("composite", r"\b\d++(?:_\d++)++\b", "<COMPOSITE_ID>", "_"),
     MaskRule("ip", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<IP>", "."),
     MaskRule(
         "uuid",
@@ -45,7 +61,10 @@ RULES_BY_NAME = {rule.name: rule for rule in MASK_RULES}
 def mask_rule(col: Column, rule: str | MaskRule, prefix: str = "", suffix: str = "") -> Column:
     """Apply one rule. The plain-text check spares most rows the regex."""
     r = RULES_BY_NAME[rule] if isinstance(rule, str) else rule
-    masked = replace_pattern(col, r.pattern, f"{prefix}{r.replacement}{suffix}")
+    parted = replace_pattern(col, *r.parts) if r.parts else col
+    masked = replace_pattern(parted, r.pattern, f"{prefix}{r.replacement}{suffix}")
+    if r.parts:
+        masked = F.replace(masked, F.lit(_PART), F.lit(""))
     return masked if r.needs is None else F.when(F.contains(col, F.lit(r.needs)), masked).otherwise(col)
 
 

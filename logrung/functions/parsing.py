@@ -44,37 +44,59 @@ def _three_groups(line: Column, pattern: str, flags: str = "") -> Column:
     return replace_pattern(line, pattern, _GROUPS, flags)
 
 
+#: Beyond this length a line goes through steps that each read it once.
+LONG_LINE = 1000
+_DELIMITER = r"(?:---|:|" + _WS + r"-" + _WS + r"|\])"
+_LEVEL = r"\b(" + LEVEL_WORDS + r"|[TVDIWEF])\b"
+
+
+def _strict_groups(line: Column) -> Column:
+    """The strict shape, as :func:`_three_groups` gives it, in linear time for long lines.
+
+    As one pattern it reads the rest of the line again for each level word and
+    each timestamp. A match needs a level before the last delimiter, and takes
+    the first timestamp before the last such level, the first level after that
+    timestamp and the first delimiter after that level. So the last ones are
+    found first, each by one greedy pass, and nothing after that can fail. Lines
+    with an inner line break keep the one pattern: few parts of it cross a break.
+    """
+    flags = "(?idU)"
+    # ``last`` ends before the last delimiter, ``early`` before the last level in it.
+    last = F.regexp_extract(line, f"{flags}^(.*){_DELIMITER}", 1)
+    level_in = f"{flags}^(.*){_LEVEL}"
+    early = F.regexp_extract(last, level_in, 1)
+    stamp = F.regexp_extract(early, f"{flags}({TIMESTAMP})", 1)
+    # One character before the rest stands for what a word boundary sees there.
+    rest = F.when(
+        stamp != "", F.substring(line, F.instr(line, stamp) + F.length(stamp) - 1, F.length(line))
+    ).otherwise(F.concat(F.lit(" "), line))
+    parts = F.regexp_replace(
+        rest, f"{flags}^.(?:.*?){_LEVEL}.*?{_DELIMITER}{_WS}*(.*)$", f"$1{_MARK}$2"
+    )
+    found = F.concat(F.lit(_MARK), stamp, F.lit(_MARK), parts)
+    stepwise = F.when(last.rlike(level_in), found).otherwise(line)
+    short = (F.length(line) <= LONG_LINE) | F.contains(line, F.lit("\n"))
+    return F.when(short, _three_groups(line, STRICT_LINE, "i")).otherwise(stepwise)
+
+
 def _group(rewritten: Column, n: int) -> Column:
     # Neither a timestamp nor a level can hold the mark, so the fourth part
     # is the whole message even when the message holds marks of its own.
     return F.element_at(F.split(rewritten, _MARK, 4), n + 1)
 
 
-def parse_with(line: Column, pattern: str, flags: str = "") -> Column:
-    """Struct (line_timestamp, line_level, message), null where no match."""
-    rewritten = _three_groups(line, pattern, flags)
-    return F.when(
-        rewritten != line,
-        F.struct(
-            _group(rewritten, 1).alias("line_timestamp"),
-            _group(rewritten, 2).alias("line_level"),
-            strip(_group(rewritten, 3)).alias("message"),
-        ),
-    )
-
-
 def parse_strict(df: DataFrame, line: str, target: str) -> DataFrame:
     """Append the strict parse as a struct, null where the shape differs."""
-    return _parse_into(df, F.col(line), target, STRICT_LINE, "i")
+    return _parse_into(df, F.col(line), target, _strict_groups(F.col(line)))
 
 
 def parse_loose(df: DataFrame, line: str, target: str) -> DataFrame:
     """Append the loose parse (upper-case level inside a header)."""
-    return _parse_into(df, F.col(line), target, LOOSE_LINE, "")
+    return _parse_into(df, F.col(line), target, _three_groups(F.col(line), LOOSE_LINE))
 
 
-def _parse_into(df: DataFrame, line: Column, target: str, pattern: str, flags: str) -> DataFrame:
-    rewritten = df.withColumn("_rewritten", _three_groups(line, pattern, flags))
+def _parse_into(df: DataFrame, line: Column, target: str, groups: Column) -> DataFrame:
+    rewritten = df.withColumn("_rewritten", groups)
     r = F.col("_rewritten")
     return rewritten.withColumn(
         target,
@@ -110,7 +132,7 @@ def parse_lines(df: DataFrame, line: str = "raw_line", detected: str | None = No
     UNKNOWN, and keeps its text, less a leaked metadata level.
     """
     text = F.col(line)
-    rows = df.withColumn("_strict", _three_groups(text, STRICT_LINE, "i"))
+    rows = df.withColumn("_strict", _strict_groups(text))
     rows = rows.withColumn(
         "_hit",
         F.when(F.col("_strict") != text, F.col("_strict")).otherwise(

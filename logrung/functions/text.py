@@ -31,11 +31,6 @@ def replace_pattern(col: Column, pattern: str, replacement: str, flags: str = ""
     return F.regexp_replace(col, f"(?dU{flags}){pattern}", replacement)
 
 
-def matches_pattern(col: Column, pattern: str, flags: str = "") -> Column:
-    """``rlike`` under the same rules as :func:`replace_pattern`."""
-    return col.rlike(f"(?dU{flags}){pattern}")
-
-
 def is_blank(col: Column) -> Column:
     """True for empty and white-space-only text."""
     return strip(col) == ""
