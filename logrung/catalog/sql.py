@@ -59,10 +59,18 @@ LOGV = f"logv AS ({LOGV_SQL})"
 SCOREV = f"scorev AS ({SCOREV_SQL})"
 
 
+# The plain form of the two rules that the package writes for linear time.
+PLAIN_RULES = {
+    "class": r"\b(?:[a-zA-Z0-9_]+\.)+[A-Z][a-zA-Z0-9_]+\b",
+    "composite": r"\b\d+(?:_\d+)+\b",
+}
+
+
 def rule_sql(x: str, name: str) -> str:
     rule = next(r for r in MASK_RULES if r.name == name)
+    pattern = PLAIN_RULES.get(name, rule.pattern)
     replacement = rule.replacement.replace("$", "\\")
-    return f"regexp_replace({x}, {quoted(rule.pattern)}, {quoted(replacement)}, 'g')"
+    return f"regexp_replace({x}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
 
 
 def mask_sql(x: str) -> str:

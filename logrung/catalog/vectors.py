@@ -114,18 +114,44 @@ def _(spark, sf):
     variance = flat.groupBy("d").agg(F.var_samp("x").alias("v")).agg(
         F.count("*").alias("components"), F.round(F.sum("v"), 6).alias("variance")
     )
-    overlaps = [F.abs(F.covar_samp(F.col("reduced")[i], F.col("reduced")[i + 1])) for i in range(0, 8, 2)]
-    overlap = reduced.agg(F.round(F.greatest(*overlaps), 6).alias("largest_overlap"))
+    # Every pair of components, a row for each.
+    later = F.posexplode(F.expr("slice(reduced, d + 2, size(reduced))")).alias("e", "y")
+    pairs = reduced.select("reduced", F.posexplode("reduced").alias("d", "x")).select("d", "x", later)
+    overlap = (
+        pairs.groupBy("d", "e")
+        .agg(F.abs(F.covar_samp("x", "y")).alias("c"))
+        .agg(F.round(F.max("c"), 6).alias("largest_overlap"))
+    )
     return variance.withColumn("largest_overlap", overlap.scalar())
 
 
 @query("bayes_gmm")
 def _(spark, sf):
-    vectors = landed(reduce_dims(fixtures.emb(spark, sf), 16).select("vec_id", "label", "reduced"), "vectors")
+    vectors = landed(reduce_dims(fixtures.emb(spark, sf), 100).select("vec_id", "label", "reduced"), "vectors")
     return bayes_gmm(vectors, n_components=10).select("vec_id", "label", "cluster")
 
 
-@query("embed_messages")
+# Signs and buckets by md5, so that both engines draw the same projection.
+@query(
+    "embed_messages",
+    rf"""{sql.WITH_MASKED}, words AS (SELECT event_id, unnest(list_filter(regexp_split_to_array(masked, '\s+'), lambda x: x <> '')) AS w FROM masked),
+       hashed AS (SELECT event_id, substr(md5(w), 1, 3) AS bucket, md5('94:0:' || w) AS h FROM words),
+       idf AS (SELECT bucket, 1 + ln(((SELECT count(*) FROM masked) + 1) / (count(DISTINCT event_id) + 1e0)) AS f FROM hashed GROUP BY bucket),
+       sums AS (SELECT event_id, d, sum(f) AS total, sum(f * (1 - 2 * (((strpos('0123456789abcdef', substr(h, d // 4 + 1, 1)) - 1) >> (3 - d % 4)) & 1))) AS s
+         FROM hashed JOIN idf USING (bucket), range(32) r(d) GROUP BY event_id, d),
+       flat AS (SELECT event_id, sum(s / total * (d + 1)) AS checksum, sum(s / total * s / total) AS square FROM sums GROUP BY event_id)
+       SELECT m.event_id, 32 AS dims, round(coalesce(checksum, 0), 5) + 0e0 AS checksum, round(coalesce(square, 0), 5) AS square
+       FROM masked m LEFT JOIN flat ON m.event_id = flat.event_id""",
+)
 def _(spark, sf):
     rows = landed(masked_logs(spark, sf).select("event_id", F.col("masked").alias("message")), "messages")
-    return embed_messages(fit_embedder(rows, size=32), rows).select("event_id", "embedding")
+    vectors = embed_messages(fit_embedder(rows, size=32), rows)
+    weighed = F.zip_with("embedding", F.sequence(F.lit(1), F.lit(32)), lambda x, d: x * d)
+    squares = F.transform("embedding", lambda x: x * x)
+    add = lambda array: F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+    return vectors.select(
+        "event_id",
+        F.size("embedding").alias("dims"),
+        (F.round(add(weighed), 5) + 0.0).alias("checksum"),
+        F.round(add(squares), 5).alias("square"),
+    )

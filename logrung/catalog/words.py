@@ -33,7 +33,7 @@ def _(spark, sf):
 @query(
     "tokenize",
     r"""SELECT doc_id, len(w) AS n_words, array_to_string(w, ' ') AS words FROM (
-        SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')[1:512] AS w FROM documents)""",
+        SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents)""",
 )
 def _(spark, sf):
     words = tk.tokenize(fixtures.table(spark, sf, "documents").select("doc_id", "text"))

@@ -76,13 +76,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Shuffle a table of fewer files than cores over all cores.
+    """Shuffle a table of fewer scan tasks than cores over all cores.
 
-    Parsing costs far more than moving a line; with enough input files the
-    scan is parallel already and nothing happens.
+    Parsing costs far more than moving a line. A table that is large enough,
+    or splits into enough parts, is scanned in parallel already and stays as
+    it is; only its number of scan tasks is asked for, not its files.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def logv(spark: SparkSession, sf_dir: str) -> DataFrame:

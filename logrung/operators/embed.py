@@ -1,34 +1,88 @@
-"""Message vectors: word vectors averaged per message, and pooled tokens."""
+"""Message vectors: hashed tokens under a random projection, and pooled tokens."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, Word2Vec
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logrung.functions.vectors import COUNT_FLOOR
-from logrung.operators.tokens import tokenizer
+from logrung.session import landed
 
+#: Tokens share a document frequency by the first hexadecimal digits of their hash.
+BUCKET_DIGITS = 3
+_HEX = "0123456789abcdef"
+_BITS = 128
 
-def fit_embedder(
-    df: DataFrame, text: str = "message", size: int = 64, seed: int = 94, min_count: int = 2
-) -> PipelineModel:
-    """Word vectors learnt from the corpus itself."""
-    words = tokenizer(text, "_words")
-    vectors = Word2Vec(
-        inputCol="_words", outputCol="_vector", vectorSize=size, minCount=min_count, seed=seed, maxIter=1
-    )
-    return Pipeline(stages=[words, vectors]).fit(df)
 
+@dataclass(frozen=True)
+class HashedEmbedder:
+    """A seeded projection of tokens to ``size`` signs, weighed by inverse document frequency.
+
+    ``weights`` is a table of one row, the weight of each of 16**3 hash
+    buckets: its size does not depend on the corpus, and there is no vocabulary.
+    """
+
+    weights: DataFrame
+    text: str
+    size: int
+    seed: int
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+
+def _bucket(word: Column) -> Column:
+    return F.substring(F.md5(word), 1, BUCKET_DIGITS)
+
+
+def fit_embedder(df: DataFrame, text: str = "message", size: int = 64, seed: int = 94) -> HashedEmbedder:
+    """Document frequencies of token buckets; one pass, summed before the shuffle."""
+    buckets = F.array_distinct(F.transform(_words(F.col(text)), _bucket))
+    seen = df.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    rows = df.count()
+    found = seen.select("bucket", (1 + F.log((F.lit(rows) + 1) / (F.col("n") + 1.0))).alias("weight"))
+    # 4096 numbers at most, in the order of the buckets; an unseen bucket weighs most.
+    held = dict(map(tuple, found.collect()))
+    unseen = float(df.sparkSession.range(1).select(1 + F.log(F.lit(rows + 1.0))).first()[0])
+    weights = [held.get(f"{i:0{BUCKET_DIGITS}x}", unseen) for i in range(16**BUCKET_DIGITS)]
+    table = df.sparkSession.createDataFrame([(weights,)], "weights array<double>")
+    return HashedEmbedder(landed(table, "token-weights"), text, size, seed)
+
+
+def embed_messages(model: HashedEmbedder, df: DataFrame, output: str = "embedding") -> DataFrame:
+    """Append the weighted mean of the signs of a message's tokens; row-local.
+
+    Sign d of a token is bit d of its md5 with the seed, in blocks of 128. A
+    message without tokens gets zeros.
+    """
+    weights = model.weights.select("weights").scalar()
+    blocks = -(-model.size // _BITS)
+
+    def token(w: Column) -> Column:
+        hashes = F.concat(*[F.md5(F.concat(F.lit(f"{model.seed}:{k}:"), w)) for k in range(blocks)])
+        place = F.conv(_bucket(w), 16, 10).cast("int")
+        return F.struct(hashes.alias("h"), F.get(F.col("_weights"), place).alias("f"))
+
+    def sign(h: Column, d: Column) -> Column:
+        digit = F.instr(F.lit(_HEX), F.substring(h, F.floor(d / 4).cast("int") + 1, F.lit(1))) - 1
+        return 1 - 2 * (F.floor(digit / F.pow(F.lit(2), 3 - d % 4)).cast("int") % 2)
 
-def embed_messages(model: PipelineModel, df: DataFrame, output: str = "embedding") -> DataFrame:
-    """Append the mean of a message's word vectors."""
-    return (
-        model.transform(df).withColumn(output, vector_to_array(F.col("_vector"))).drop("_words", "_vector")
+    rows = df.withColumn("_weights", weights).withColumn("_tokens", F.transform(_words(F.col(model.text)), token))
+    add = lambda a, x: a + x
+    total = F.aggregate(F.transform("_tokens", lambda t: t.f), F.lit(0.0), add)
+    vector = F.transform(
+        F.sequence(F.lit(0), F.lit(model.size - 1)),
+        lambda d: F.aggregate(F.transform("_tokens", lambda t: t.f * sign(t.h, d)), F.lit(0.0), add)
+        / F.greatest(F.col("_total"), F.lit(COUNT_FLOOR)),
     )
+    return rows.withColumn("_total", total).withColumn(output, vector).drop("_weights", "_tokens", "_total")
 
 
 def pool_tokens(rows: DataFrame, *keys: str) -> DataFrame:

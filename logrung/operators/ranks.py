@@ -19,6 +19,8 @@ from logrung.session import landed
 
 HASH_DIGITS = 4
 VALUE_BUCKETS = 256
+#: Rows of a value bucket on average; larger tables get more buckets.
+ROWS_PER_BUCKET = 1_000_000
 
 
 def hash_key(seed: int, *ids: str | Column) -> Column:
@@ -35,9 +37,12 @@ def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
 def with_value_bucket(df: DataFrame, order: str, buckets: int = VALUE_BUCKETS) -> DataFrame:
     """Append ``_bucket``, a number by approximate quantiles of ``order``.
 
-    The bounds only steer the balance; ranks stay exact whatever they are. At
-    most ``buckets`` numbers come to the driver.
+    The bounds only steer the balance; ranks stay exact whatever they are. The
+    number of buckets follows the number of rows, ``buckets`` at least, so that
+    a bucket stays about as large however long the table. One number for each
+    bucket comes to the driver.
     """
+    buckets = max(buckets, -(-df.count() // ROWS_PER_BUCKET))
     shares = [i / buckets for i in range(1, buckets)]
     bounds = df.agg(F.percentile_approx(order, shares, 10 * buckets).alias("b")).first()["b"]
     inner = sorted({float(b) for b in bounds or []}) or [0.0]
@@ -66,14 +71,14 @@ def running_totals(
     df = landed(df, "running-totals")
     rows = with_value_bucket(df, order, buckets)
     totals = rows.groupBy("_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    # At most ``buckets`` rows from here to the join.
+    # One row for each bucket from here to the join. Written, so that its true size decides how it is joined.
     shifts = totals.withColumn("_all", F.lit(0)).select(
         "_bucket",
         *[_before(m, ["_all"], ["_bucket"]).alias(f"_{m}_shift") for m in measures],
         *[F.sum(m).over(Window.partitionBy("_all")).alias(f"{m}_total") for m in measures],
     )
     inside = rows.withColumns({f"_{m}_in": _before(m, ["_bucket"], [order]) for m in measures})
-    joined = inside.join(F.broadcast(shifts), "_bucket")
+    joined = inside.join(landed(shifts, "bucket-shifts"), "_bucket")
     return joined.withColumns(
         {f"{m}_before": F.col(f"_{m}_in") + F.col(f"_{m}_shift") for m in measures}
     ).drop("_bucket", *[f"_{m}_{s}" for m in measures for s in ("in", "shift")])

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from logrung.functions.text import placeholders
 
 PLACEHOLDER = r"<[^<>\s]+>"
-MAX_TOKENS = 512
 
 
 def token_vocabulary(df: DataFrame, text: str = "text", pattern: str = PLACEHOLDER) -> DataFrame:
@@ -37,7 +36,8 @@ def tokenizer(text: str = "text", output: str = "words") -> RegexTokenizer:
     return RegexTokenizer(inputCol=text, outputCol=output, pattern=r"\s+", toLowercase=False)
 
 
-def tokenize(df: DataFrame, text: str = "text", limit: int = MAX_TOKENS) -> DataFrame:
-    """Replace the text column by its first ``limit`` tokens."""
+def tokenize(df: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
+    """Replace the text column by its tokens, all of them or the first ``limit``."""
     words = tokenizer(text, "_words").transform(df)
-    return words.withColumn("words", F.slice("_words", 1, limit)).drop(text, "_words")
+    kept = F.col("_words") if limit is None else F.slice("_words", 1, limit)
+    return words.withColumn("words", kept).drop(text, "_words")

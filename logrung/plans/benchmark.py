@@ -13,18 +13,15 @@ from logrung.operators.metrics import model_accuracy
 from logrung.operators.sampling import SPLIT_SEED, uniform_sample
 from logrung.session import landed
 
-# Job defaults.
-SAMPLE_ROWS = 10_000
-
-
-def benchmark_rows(parsed: DataFrame, ids: Sequence[str], n: int = SAMPLE_ROWS, seed: int = SPLIT_SEED) -> DataFrame:
-    """A sample of rows whose upper-cased raw level is not UNKNOWN."""
+def benchmark_rows(parsed: DataFrame, ids: Sequence[str], n: int | None = None, seed: int = SPLIT_SEED) -> DataFrame:
+    """Rows whose upper-cased raw level is not UNKNOWN, all of them or a sample of ``n``."""
     valid = parsed.withColumn("true_label", F.upper("line_level")).filter(F.col("true_label") != UNKNOWN)
-    return uniform_sample(landed(valid.select(*ids, "message", "true_label"), "valid-rows"), n, ids, seed)
+    rows = valid.select(*ids, "message", "true_label")
+    return rows if n is None else uniform_sample(landed(rows, "valid-rows"), n, ids, seed)
 
 
 def benchmark_models(
-    parsed: DataFrame, scorers: dict[str, Scorer], ids: Sequence[str], n: int = SAMPLE_ROWS, seed: int = SPLIT_SEED
+    parsed: DataFrame, scorers: dict[str, Scorer], ids: Sequence[str], n: int | None = None, seed: int = SPLIT_SEED
 ) -> DataFrame:
     """(model, rows, accuracy_pct), every model on exactly the same rows."""
     rows = landed(benchmark_rows(parsed, ids, n, seed), "benchmark-rows")

@@ -20,8 +20,7 @@ from logrung.operators.sampling import SPLIT_SEED, display_sample, uniform_sampl
 from logrung.session import landed
 from logrung.sources.sinks import auto_labeled, incorrect_predictions, write_json, write_run_metrics
 
-# Job defaults.
-SAMPLE_ROWS = 150_000
+# Display sizes.
 SHOWN_INPUTS = 30
 SHOWN_ERRORS = 10
 
@@ -33,15 +32,18 @@ class Evaluation:
     metrics: DataFrame
 
 
-def score_rows(rows: DataFrame, scorer: Scorer, calibrator: metrics.Calibrator | None = None) -> DataFrame:
+def score_rows(
+    rows: DataFrame, scorer: Scorer, calibrator: metrics.Calibrator | None = None, **scoring
+) -> DataFrame:
     """Predict, score the mismatch and calibrate; written once for the reports.
 
-    ``rows`` has message (masked) and true_label.
+    ``rows`` has message (masked) and true_label. ``scoring`` holds settings of
+    :func:`score_mismatch`: weights, scale, threshold.
     """
     predicted = scorer(rows)
-    mismatch = score_mismatch(predicted, "true_label", "predicted_label", "confidence")
+    mismatch = score_mismatch(predicted, "true_label", "predicted_label", "confidence", **scoring)
     scored = landed(mismatch, "scored")
-    chosen = calibrator or metrics.percentile_calibrator(empty=THRESHOLD)
+    chosen = calibrator or metrics.percentile_calibrator(empty=scoring.get("threshold", THRESHOLD))
     return metrics.recalibrate(scored, chosen)
 
 
@@ -91,13 +93,14 @@ def evaluate_rows(
     row_id: str | None = None,
     out: str | None = None,
     calibrator: metrics.Calibrator | None = None,
+    **scoring,
 ) -> Evaluation:
     """Score rows that are masked and labelled already, report and export.
 
     With ``out`` the two exports and the metrics go below ``out/<model>``.
     """
     run_id = f"{model}_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}"
-    scored = score_rows(rows, scorer, calibrator)
+    scored = score_rows(rows, scorer, calibrator, **scoring)
     table = report(scored, run_id, model, row_id)
     if out is not None:
         write_json(auto_labeled(scored), f"{out}/{model}/{run_id}_auto_labeled_logs")
@@ -112,23 +115,28 @@ def evaluate_models(
     ids: Sequence[str],
     row_id: str | None = None,
     detected: str | None = None,
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int | None = None,
     seed: int = SPLIT_SEED,
     out: str | None = None,
+    calibrator: metrics.Calibrator | None = None,
+    **scoring,
 ) -> dict[str, Evaluation]:
-    """Evaluate several models on one sample of a raw corpus.
+    """Evaluate several models on a raw corpus, or on one sample of it.
 
-    ``rows`` has raw_line, and the metadata level in ``detected``. The sample
-    is drawn first, so that only its rows are parsed and masked.
+    ``rows`` has raw_line, and the metadata level in ``detected``. With
+    ``sample_rows`` a sample is drawn first, so that only its rows are parsed
+    and masked; by default all rows are. ``calibrator`` and ``scoring`` (weights,
+    scale, threshold) are those of :func:`score_rows`.
     """
-    sample = parse_lines(uniform_sample(rows, sample_rows, ids, seed), "raw_line", detected)
+    drawn = rows if sample_rows is None else uniform_sample(landed(rows, "corpus-rows"), sample_rows, ids, seed)
+    sample = parse_lines(drawn, "raw_line", detected)
     masked = with_masked(sample, "message", "_masked")
     chosen = masked.withColumn("message", F.col("_masked")).withColumn(
         "true_label", canonical_level(F.col("line_level"))
     )
     chosen = landed(chosen.drop("_masked"), "evaluation-rows")
     return {
-        name: evaluate_rows(chosen, scorer, name, row_id, out) for name, scorer in scorers.items()
+        name: evaluate_rows(chosen, scorer, name, row_id, out, calibrator, **scoring) for name, scorer in scorers.items()
     }
 
 

@@ -27,14 +27,19 @@ def local_session(cores: int | str = "*", app: str = "logrung", memory: str = "1
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary
-    folder is created and remembered in the session.
+    Only on one machine (master ``local[...]``, as in tests) an absent setting
+    is replaced by a temporary folder, remembered in the session. On a cluster
+    the executors would write such a folder to disks of their own, so there it
+    is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.logrung.shared.dir", None
     )
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     fresh = tempfile.mkdtemp(prefix="logrung-")
     spark.conf.set("spark.logrung.shared.dir", fresh)
     return fresh
