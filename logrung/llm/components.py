@@ -22,14 +22,16 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    seen = None
     while True:
         # Large star: every larger neighbour of a node moves to the node's smallest neighbour.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = (
-            both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        )
+        large = landed(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "edges")
+        state = _state(large)
+        if state == _state(now) and state[0] == now.select("a").distinct().count():
+            # Each node has one smaller neighbour and no larger neighbour moves: a forest of stars.
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
         # Small star: the smaller neighbours of a node, and the node, move to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
@@ -39,10 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         now = landed(small, "edges")
-        state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == seen:
-            # A fixed point is a forest of stars: each node has its one smallest node.
-            return now.groupBy("a").agg(F.min("b").alias("b")).select(
-                F.col("a").alias("node"), F.col("b").alias("label")
-            ).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        seen = state
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Count and two hash sums of a set of edges."""
+    low = F.expr("xxhash64(a, b) & 4294967295")
+    high = F.shiftright(F.xxhash64("a", "b"), 32)
+    return tuple(edges.agg(F.count("*"), F.sum(low), F.sum(high)).first())

@@ -74,7 +74,7 @@ def bands_of(n: int, limit: Threshold, ratio: int = 3) -> list[Band]:
             most = limit.most_different(2 * high)
             # Some parts more than the difference: empty parts then need not be emitted.
             parts = most + most // 6 + 4
-            found.append(Band(number, low, high, parts, 64 * (1 + high // 8)))
+            found.append(Band(number, low, high, parts, 64 * (1 + high // 24)))
         low, number = low * ratio, number + 1
     return found
 
@@ -131,21 +131,34 @@ def _with_text(docs: DataFrame) -> DataFrame:
     )
 
 
-def shingle_nodes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, node): the size and id of each row's shingle set; node is null for an empty set."""
+def shingle_nodes(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
+    """(doc_id, n, node, sketches): size, id and bit sketches by band of each row's shingle set.
+
+    node and sketches are null for an empty set; of copies in a batch of rows
+    only the first carries sketches.
+    """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, sketches = [], [], []
+            seen: set[int] = set()
             for s in _sets(batch.column(1), words):
+                node = set_id(s) if len(s) else None
                 sizes.append(len(s))
-                ids.append(set_id(s) if len(s) else None)
+                ids.append(node)
+                new = node is not None and node not in seen
+                seen.add(node)
+                sketches.append(
+                    [{"band": b.number, "bits": bit_sketch(s, b)} for b in bands_of(len(s), limit)] if new else None
+                )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())],
-                names=["doc_id", "n", "node"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, kind)],
+                names=["doc_id", "n", "node", "sketches"],
             )
 
-    return _with_text(docs).mapInArrow(number, "doc_id long, n long, node long")
+    kind = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))
+    schema = "doc_id long, n long, node long, sketches array<struct<band: int, bits: binary>>"
+    return _with_text(docs).mapInArrow(number, schema)
 
 
 def part_entries(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
@@ -228,36 +241,57 @@ def bucket_stars(entries: DataFrame) -> DataFrame:
     )
 
 
-def set_bodies(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int, limit: Threshold) -> DataFrame:
-    """(node, n, hashes, sketches) of each set in ``members`` (node), computed from one text of each."""
+def set_bodies(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the written sets of ``members`` (node), each from one of its texts."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for s in _sets(batch.column(1), words):
-                sketches = [
-                    {"band": b.number, "bits": bit_sketch(s, b)} for b in bands_of(len(s), limit)
-                ]
-                rows.append({"node": set_id(s), "n": len(s), "hashes": s.tobytes(), "sketches": sketches})
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
-
-    kind = pa.schema(
-        [
-            ("node", pa.int64()),
-            ("n", pa.int64()),
-            ("hashes", pa.binary()),
-            ("sketches", pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))),
-        ]
+            sets = {set_id(s): s.tobytes() for s in _sets(batch.column(1), words) if len(s)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["node", "hashes"]
+            )
+
+    chosen = nodes.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    ids = landed(chosen.select(F.col("doc_id").alias("chosen_id")).distinct(), "chosen-ids")
+    some = _with_text(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
+    raw = landed(some.mapInArrow(build, "node long, hashes binary").join(members, "node", "left_semi"), "bodies")
+    # Rows that repeat an id may give a set again, from another task. Only those are grouped with their contents.
+    again = landed(raw.groupBy("node").count().where("count > 1").select("node"), "bodies-again")
+    if again.isEmpty():
+        return raw
+    once = raw.join(again, "node", "left_anti")
+    return landed(
+        once.unionByName(raw.join(again, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))),
+        "bodies",
     )
-    chosen = (
-        nodes.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataFrame:
+    """(a, b, distance) of the distinct pairs (a, b, band) whose sketches allow a link."""
+
+    @F.arrow_udf("int")
+    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(
+            [
+                int(np.bitwise_count(np.frombuffer(p.as_buffer(), np.uint8) ^ np.frombuffer(q.as_buffer(), np.uint8)).sum())
+                for p, q in zip(x, y, strict=True)
+            ],
+            pa.int32(),
+        )
+
+    left = sketches.select(F.col("node").alias("a"), "band", F.col("bits").alias("x"), F.col("n").alias("nx"))
+    right = sketches.select(F.col("node").alias("b"), "band", F.col("bits").alias("y"), F.col("n").alias("ny"))
+    most = F.floor((F.col("nx") + F.col("ny")) * (limit.den - limit.num) / (limit.den + limit.num))
+    return (
+        pairs.groupBy("a", "b")
+        .agg(F.min("band").alias("band"))
+        .join(left, ["a", "band"])
+        .join(right, ["b", "band"])
+        .where(limit.den * F.least("nx", "ny") >= limit.num * F.greatest("nx", "ny"))
+        .select("a", "b", distance("x", "y").alias("distance"), most.alias("most"))
+        .where("distance <= most")
+        .select("a", "b", "distance")
     )
-    ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
-    texts = _with_text(docs)
-    some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
-    schema = "node long, n long, hashes binary, sketches array<struct<band: int, bits: binary>>"
-    built = some.mapInArrow(build, schema)
-    return built.join(members, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, bodies: DataFrame, limit: Threshold) -> DataFrame:
@@ -275,21 +309,14 @@ def verified(pairs: DataFrame, bodies: DataFrame, limit: Threshold) -> DataFrame
                 [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"]
             )
 
-    left = bodies.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("n").alias("nx"))
-    right = bodies.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("n").alias("ny"))
-    return (
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .where("a <> b")
-        .distinct()
-        .join(left, "a")
-        .join(right, "b")
-        .where(limit.den * F.least("nx", "ny") >= limit.num * F.greatest("nx", "ny"))
-        .select("a", "b", "x", "y")
-        .mapInArrow(check, "a long, b long, linked boolean")
+    left = bodies.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    right = bodies.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
+        check, "a long, b long, linked boolean"
     )
 
 
-def _compare_blocks(limit: Threshold, forests: int, failed: bool):
+def _compare_blocks(limit: Threshold, forests: int):
     """A function of the rows of one (key, block, block) group: pairs that may link across components."""
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -297,10 +324,7 @@ def _compare_blocks(limit: Threshold, forests: int, failed: bool):
         node, label, n = rows["node"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy()
         bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         few, many = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        known = {}
-        if failed:
-            for x, f in zip(node.tolist(), rows["failed"].to_pylist(), strict=True):
-                known[x] = set(f or ())
+        known = {x: set(f or ()) for x, f in zip(node.tolist(), rows["failed"].to_pylist(), strict=True)}
         found: list[tuple[int, int, int]] = []
         for i in few.tolist():
             apart = many[label[many] != label[i]]
@@ -312,7 +336,7 @@ def _compare_blocks(limit: Threshold, forests: int, failed: bool):
             distance = np.bitwise_count(bits[apart] ^ bits[i]).sum(axis=1, dtype=np.int64)
             near = distance <= limit.most_different(total)
             found += [(int(d), i, int(j)) for d, j in zip(distance[near], apart[near], strict=True)]
-        found = [f for f in sorted(found) if node[f[2]] not in known.get(int(node[f[1]]), ())]
+        found = [f for f in sorted(found) if node[f[2]] not in known[int(node[f[1]])]]
         kept: list[tuple[int, int]] = []
         for _ in range(forests):
             # A spanning forest over components: enough if all its pairs turn out to link.
@@ -342,8 +366,27 @@ def _compare_blocks(limit: Threshold, forests: int, failed: bool):
     return compare
 
 
+def open_buckets(stars: DataFrame) -> DataFrame:
+    """(key, node) of the buckets with three or more members, one bucket of each set of members.
+
+    Two members are a pair that the star has tied already. Similar texts share
+    many keys, so most buckets repeat another one; sets of members are told
+    apart by their number and two sums of 64-bit hashes.
+    """
+    members = landed(
+        stars.select("key", "node").unionByName(stars.select("key", F.col("hub").alias("node"))).distinct(), "members"
+    )
+    marked = members.groupBy("key").agg(
+        F.count("*").alias("k"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    )
+    kept = marked.where("k > 2").groupBy("k", "x", "y").agg(F.min("key").alias("key"))
+    return members.join(kept.select("key"), "key", "left_semi")
+
+
 def cross_pairs(
-    members: DataFrame, labels: DataFrame, bodies: DataFrame, failed: DataFrame | None, limit: Threshold, forests: int
+    members: DataFrame, labels: DataFrame, sketches: DataFrame, failed: DataFrame, limit: Threshold, forests: int
 ) -> DataFrame:
     """(a, b) of one bucket, two components, and a sketch distance that allows a link.
 
@@ -355,7 +398,7 @@ def cross_pairs(
     counts = labelled.groupBy("key", "label").agg(F.count("*").alias("k"))
     split = (
         counts.groupBy("key")
-        .agg(F.max_by("label", "k").alias("big"), F.sum("k").alias("all"), F.max("k").alias("most"))
+        .agg(F.max_by("label", F.struct("k", "label")).alias("big"), F.sum("k").alias("all"), F.max("k").alias("most"))
         .where("all > most")
     )
     open_ = (
@@ -380,23 +423,21 @@ def cross_pairs(
         "label",
         F.lit(0).alias("side"),
     )
-    sketches = bodies.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.bits")
     rows = (
-        few.unionByName(many)
-        .withColumn("band", F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)"))
+        few.unionByName(many).withColumn("band", F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)"))
         .join(sketches, ["node", "band"])
     )
-    if failed is not None:
-        both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rows = rows.join(
-            both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left"
-        )
-    compare = _compare_blocks(limit, forests, failed is not None)
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rows = rows.join(both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left")
+    return rows.groupBy("key", "i", "j").applyInArrow(_compare_blocks(limit, forests), "a long, b long")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: components of links with Jaccard >= num / den.
+    """(doc_id, n_shingles, component_id, node, label) for each row: components of links with Jaccard >= num / den.
 
     component_id is the smallest doc_id that links reach, the row's own
     included; where all ids reached are null it is null. Null and empty texts,
@@ -405,36 +446,105 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     whole sequence. Copies, also of the same id, share a component. An empty
     table gives no rows. Extra columns of ``docs`` are not read.
 
-    Sets and shingles are told apart by 64-bit hashes. All comparisons that
+    ``node`` is the id of the row's set and ``label`` that of its component,
+    both null for an empty set. Sets and shingles are told apart by 64-bit hashes. All comparisons that
     decide are over whole sets.
     """
     limit = Threshold(num, den)
-    nodes = landed(shingle_nodes(docs, words), "shingle-nodes")
+    nodes = landed(shingle_nodes(docs, words, limit), "shingle-nodes")
     stars = landed(bucket_stars(part_entries(docs, words, limit)), "stars")
-    members = stars.select("key", "node").unionByName(stars.select("key", F.col("hub").alias("node"))).distinct()
-    in_play = landed(members.select("node").distinct(), "in-play")
-    bodies = landed(set_bodies(docs, nodes, in_play, words, limit), "bodies")
-    checked = [landed(verified(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), bodies, limit), "checked")]
-    members = landed(members, "members")
+    in_play = stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct()
+    sketches = landed(
+        nodes.where("sketches is not null")
+        .join(in_play, "node", "left_semi")
+        .groupBy("node")
+        .agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+        .select("node", "n", F.explode("sketches").alias("s"))
+        .select("node", "n", "s.band", "s.bits"),
+        "sketches",
+    )
+    tied = stars.select(
+        F.least("hub", "node").alias("a"),
+        F.greatest("hub", "node").alias("b"),
+        F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)").alias("band"),
+    )
+    near = landed(near_pairs(tied, sketches, limit), "near")
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    bodies = set_bodies(docs, nodes, ends, words)
+    judged = landed(verified(near, bodies, limit), "judged")
+    labels = landed(components(judged.where("linked")), "labels")
+    members = landed(open_buckets(stars), "open-buckets")
     forests = 1
     while True:
-        judged = checked[0]
-        for more in checked[1:]:
-            judged = judged.unionByName(more)
-        labels = landed(components(judged.where("linked").select("a", "b")), "labels")
         failed = judged.where("not linked").select("a", "b")
-        pairs = cross_pairs(members, labels, bodies, failed, limit, forests)
-        found = landed(verified(pairs, bodies, limit), "checked")
+        found = landed(
+            _ordered(cross_pairs(members, labels, sketches, failed, limit, forests)).distinct(), "crossing"
+        )
         if found.isEmpty():
             break
-        checked.append(found)
+        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+        more = landed(verified(found, set_bodies(docs, nodes, ends, words), limit), "judged")
+        judged = judged.unionByName(more)
+        merged = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = landed(components(merged.unionByName(more.where("linked").select("a", "b"))), "labels")
+        if more.where("not linked").isEmpty():
+            # The forest held, so no two components of a bucket are near each other any more.
+            break
         forests *= 4
     own = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))
     placed = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("own_id").alias("component_id"))
-    by_node = landed(placed.join(smallest, "label").select("node", "component_id"), "components")
+    by_node = landed(placed.join(smallest, "label").select("node", "label", "component_id"), "components")
     return nodes.join(by_node, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "node",
+        "label",
+    )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: the one with the smallest doc_id.
+
+    Texts without words link with nothing, so all their rows stay. Where rows
+    repeat an id, the set of the text tells them apart and one row of each set
+    stays. Null ids come first. Other columns pass through whatever their names.
+    """
+    found = landed(jaccard_components(docs, words, num, den), "duplicate-components")
+    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("k"))
+    keep = landed(
+        first.select("k.doc_id", "k.node").unionByName(found.where("label is null").select("doc_id", "node").distinct()),
+        "duplicates-kept",
+    )
+    again = landed(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "ids-again")
+
+    @F.arrow_udf("long")
+    def node_of(texts: pa.Array) -> pa.Array:
+        return pa.array([set_id(s) if len(s) else None for s in _sets(texts, words)], pa.int64())
+
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id")
+    )
+    kept_ids = keep.select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
+    repeated = again.select(F.col("doc_id").alias("again_id"))
+    plain = whole.join(kept_ids, F.col("id") == F.col("kept_id"), "left_semi")
+    if again.isEmpty():
+        return plain.select("row.*")
+    odd = (
+        whole.join(repeated, F.col("id").eqNullSafe(F.col("again_id")), "left_semi")
+        .withColumn("node", node_of(F.col("row.text").cast("string")))
+        .join(
+            kept_ids,
+            F.col("id").eqNullSafe(F.col("kept_id")) & F.col("node").eqNullSafe(F.col("kept_node")),
+            "left_semi",
+        )
+    )
+    one = odd.where("node is not null").groupBy("id", "node").agg(F.first("row").alias("row"))
+    return (
+        plain.join(repeated, F.col("id") == F.col("again_id"), "left_anti")
+        .select("row")
+        .unionByName(odd.where("node is null").select("row"))
+        .unionByName(one.select("row"))
+        .select("row.*")
     )
