@@ -96,6 +96,31 @@ def _(spark, sf):
     return cl.gaussian_axes(cl.gaussian_moments(fixtures.emb(spark, sf), "embedding", 3, "label"), 3)
 
 
+# What holds for any eigen decomposition: trace, determinant, unit and orthogonal axes.
+@query(
+    "cluster_axes_invariants",
+    """WITH c AS (SELECT label AS cluster, covar_samp(x, x) AS a, covar_samp(y, y) AS b, covar_samp(z, z) AS c,
+           covar_samp(x, y) AS d, covar_samp(x, z) AS e, covar_samp(y, z) AS f
+         FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)
+         GROUP BY label HAVING count(*) >= 4)
+       SELECT cluster, round(a + b + c, 6) AS trace,
+         round(1e6 * (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)), 4) AS determinant, 3 AS axes, true AS orthonormal FROM c""",
+)
+def _(spark, sf):
+    found = cl.gaussian_axes(cl.gaussian_moments(fixtures.emb(spark, sf), "embedding", 3, "label"), 3)
+    value, axis = F.col("eigenvalues"), F.col("axes")
+    add = lambda a, x: a + x
+    dot = lambda i, j: F.aggregate(F.zip_with(axis[i], axis[j], lambda x, y: x * y), F.lit(0.0), add)
+    off = [F.abs(dot(i, j) - (1.0 if i == j else 0.0)) for i in range(3) for j in range(i, 3)]
+    return found.select(
+        "cluster",
+        F.round(value[0] + value[1] + value[2], 6).alias("trace"),
+        F.round(1e6 * value[0] * value[1] * value[2], 4).alias("determinant"),
+        F.size(axis).alias("axes"),
+        (F.greatest(*off) < 1e-9).alias("orthonormal"),
+    )
+
+
 @query("pca_reduce")
 def _(spark, sf):
     return reduce_dims(fixtures.emb(spark, sf), 100).select("vec_id", "reduced")

@@ -56,11 +56,14 @@ def dataset_key(path: Column, root: str) -> Column:
     """First path part below ``root``, or the file stem for a top-level file.
 
     ``path`` is a file URI or plain path; the text up to and including the
-    first occurrence of ``root`` is dropped.
+    first occurrence of ``root`` is dropped. A path that does not hold ``root``
+    is an error; give the absolute form of relative roots.
     """
     prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
     start = F.instr(path, prefix) + F.lit(len(prefix))
-    below = F.substring(path, start, F.length(path))
+    below = F.when(F.contains(path, F.lit(prefix)), F.substring(path, start, F.length(path))).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {prefix}: "), path))
+    )
     stem = F.regexp_replace(below, r"(?<=.)\.[^.]*$", "")
     return F.when(F.contains(below, F.lit("/")), F.substring_index(below, "/", 1)).otherwise(stem)
 

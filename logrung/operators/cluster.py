@@ -28,11 +28,11 @@ def purity(levels: DataFrame) -> DataFrame:
 
     The majority is the most frequent level, ties to the one seen first.
     """
-    # Rank by count, then by the earlier first row.
-    best = F.struct(F.col("n"), -F.col("first_row"))
+    # The largest count, then the earlier first row, which may be a composite id.
+    best = F.struct((-F.col("n")).alias("n"), F.col("first_row"))
     return levels.groupBy("cluster").agg(
         F.sum("n").alias("size"),
-        F.max_by("level", best).alias("majority_level"),
+        F.min_by("level", best).alias("majority_level"),
         F.max("n").alias("majority_n"),
         (F.max("n") / F.sum("n") * 100).alias("purity_pct"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("level_counts"),
@@ -74,21 +74,28 @@ def gaussian_moments(df: DataFrame, vector: str, dims: int, cluster: str = "clus
 
 
 def gaussian_axes(moments: DataFrame, dims: int) -> DataFrame:
-    """Append eigenvalues (ascending) and the 2-std radii; one row per cluster."""
+    """Append eigenvalues (ascending), 2-std radii and unit axes; one row per cluster.
+
+    ``axes`` holds the eigenvectors in the order of their eigenvalues, each
+    turned so that its largest component is positive.
+    """
 
     def axes(batches):
         for batch in batches:
-            values = []
+            values, vectors = [], []
             for row in batch.itertuples(index=False):
                 cov = np.zeros((dims, dims))
                 for i, j in combinations_with_replacement(range(dims), 2):
                     cov[i, j] = cov[j, i] = getattr(row, f"cov_{i}_{j}")
-                values.append(np.linalg.eigvalsh(cov))
+                spread, turned = np.linalg.eigh(cov)
+                values.append(spread)
+                vectors.append([v if v[np.abs(v).argmax()] > 0 else -v for v in turned.T])
             radii = [N_STD * np.sqrt(np.maximum(v, 0)) for v in values]
             yield batch.assign(
                 eigenvalues=pd.Series(values, index=batch.index, dtype=object),
                 radii=pd.Series(radii, index=batch.index, dtype=object),
+                axes=pd.Series(vectors, index=batch.index, dtype=object),
             )
 
     fields = ", ".join(f"`{n}` {t}" for n, t in moments.dtypes)
-    return moments.mapInPandas(axes, f"{fields}, eigenvalues array<double>, radii array<double>")
+    return moments.mapInPandas(axes, f"{fields}, eigenvalues array<double>, radii array<double>, axes array<array<double>>")

@@ -70,7 +70,12 @@ def cluster_vectors(
 
 
 def cluster_logs(parsed: DataFrame, row_id: str = "row_id", out: str | None = None, **settings) -> Clustering:
-    """Embed and cluster parsed log rows; rows of unknown level are left out."""
+    """Embed and cluster parsed log rows; rows of unknown level are left out.
+
+    Rows of a file scan need no ``row_id``: it is then their (file_path, pos).
+    """
+    if row_id not in parsed.columns and {"file_path", "pos"} <= set(parsed.columns):
+        parsed = parsed.withColumn(row_id, F.struct("file_path", "pos"))
     rows = with_masked(filter_level(parsed, include_unknown=False), "message", "_masked")
     rows = landed(
         rows.select(row_id, "level", F.col("_masked").alias("message")), "cluster-rows"

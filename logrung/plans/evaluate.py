@@ -128,6 +128,10 @@ def evaluate_models(
     and masked; by default all rows are. ``calibrator`` and ``scoring`` (weights,
     scale, threshold) are those of :func:`score_rows`.
     """
+    if row_id is None and {"file_path", "pos"} <= set(rows.columns):
+        # Rows of a file scan: ties in the score are ordered by a hash of file and line.
+        row_id = "row_id"
+        rows = rows.withColumn(row_id, F.xxhash64("file_path", "pos"))
     drawn = rows if sample_rows is None else uniform_sample(landed(rows, "corpus-rows"), sample_rows, ids, seed)
     sample = parse_lines(drawn, "raw_line", detected)
     masked = with_masked(sample, "message", "_masked")

@@ -75,6 +75,12 @@ def hadoop_path(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """The absolute path that the file system gives a file name of, without scheme."""
+    fs, where = hadoop_path(spark, path)
+    return fs.makeQualified(where).toUri().getPath()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all tables landed by this application; call it after the last job."""
     fs, where = hadoop_path(spark, scratch_root(spark))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logrung.functions.parsing import METADATA_FIELDS, parse_lines
 from logrung.functions.text import EXTRA_LINE_BREAKS, dataset_key, is_blank
+from logrung.session import landed, qualified_path
 from logrung.sources.records import project_records
 
+#: Lines of a block: what ranks over files count and sort at a time.
+LINES_PER_BLOCK = 1_000_000
+
 TEXT_GLOB = "*.[lL][oO][gG]"
 JSON_GLOB = "*.[jJ][sS][oO][nN]"
 
@@ -60,18 +64,34 @@ def scan_text(
 ) -> DataFrame:
     """(file_path, block, pos, raw_line): one row per non-blank text line.
 
-    (file_path, block, pos) sorts rows in file order: ``block`` is the byte
-    offset of the split, ``pos`` grows within it. Files stay splittable. Line
-    breaks the reader does not know are split here; bytes that are not UTF-8
-    become U+FFFD.
+    ``pos`` is the line's number in its file, blank lines counted, and ``block``
+    the number of its run of a million lines; neither depends on how the files
+    are split or on the number of cores. Files stay splittable: one pass counts
+    the lines of each split, and a line is its place in its split, shifted by
+    the lines of the splits before it. No line is moved. Line breaks the reader
+    does not know are split here; bytes that are not UTF-8 become U+FFFD.
     """
     lines = _open(spark, root, glob, name_pattern, whole=False).select(
         _file_path().alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.posexplode(F.split("value", EXTRA_LINE_BREAKS)).alias("_part", "raw_line"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.explode(F.split("value", EXTRA_LINE_BREAKS)).alias("raw_line"),
+    )
+    # Consecutive within a task, and a split is read by one task.
+    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    splits = landed(
+        placed.groupBy("file_path", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")),
+        "file-splits",
+    )
+    before = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = splits.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.col("_at") - F.col("_first")
+    # The second pass must split the files as the first did; settings changed in between would show here.
+    checked = F.when((place >= 0) & (place < F.col("_n")), F.col("_shift") + place).otherwise(
+        F.raise_error(F.lit("the files were split in another way than when they were counted"))
     )
-    return lines.select(
-        "file_path", "block", F.monotonically_increasing_id().alias("pos"), "raw_line"
+    numbered = placed.join(shifted, ["file_path", "_split"]).withColumn("pos", checked)
+    return numbered.select(
+        "file_path", F.floor(F.col("pos") / LINES_PER_BLOCK).alias("block"), "pos", "raw_line"
     ).filter(~is_blank(F.col("raw_line")))
 
 
@@ -136,7 +156,7 @@ def scan_directory(spark: SparkSession, root: str, name_pattern: str | None = No
     records = project_records(scan_json(spark, root, name_pattern), "raw_json")
     records = records.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     both = text.unionByName(records.select(*text.columns))
-    return both.withColumn("dataset", dataset_key(F.col("file_path"), root))
+    return both.withColumn("dataset", dataset_key(F.col("file_path"), qualified_path(spark, root)))
 
 
 def rejected_records(spark: SparkSession, root: str, name_pattern: str | None = None) -> DataFrame:
