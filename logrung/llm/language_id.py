@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from logrung.llm.files import attempt_name, open_for_reading, open_for_writing, shared_folder
 from logrung.llm.text_stats import fold_of
-from logrung.llm.words import mix64
+from logrung.llm.words import mix64, text_slices
 from logrung.session import landed
 
 ORDER = 4
@@ -37,7 +37,6 @@ CALIBRATION_SHARE = 8
 _SURE = 400
 #: One nat for each character of a long text, more for shorter ones; texts in several languages stay.
 LEAST_LIMIT = 20.0
-_SLICE = 1 << 21
 UNKNOWN = "und"
 
 
@@ -145,16 +144,11 @@ class KneserNey:
         return out
 
 
-def _entropies(texts: list[str | None], models: list[KneserNey]) -> tuple[np.ndarray, np.ndarray]:
-    """(cross-entropy of each text under each model, characters of each text)."""
+def _entropies(texts: pa.Array, models: list[KneserNey]) -> tuple[np.ndarray, np.ndarray]:
+    """(cross-entropy of each text under each model, characters of each text), a slice of the texts at a time."""
     out, sizes = np.zeros((len(texts), len(models))), np.zeros(len(texts), np.int64)
-    first = 0
-    while first < len(texts):
-        parts, held, last = [], 0, first
-        while last < len(texts) and (held < _SLICE or last == first):
-            parts.append(four_grams(texts[last]))
-            held += len(parts[-1])
-            last += 1
+    for first, last in text_slices(texts):
+        parts = [four_grams(t) for t in texts.slice(first, last - first).to_pylist()]
         lengths = np.array([len(p) for p in parts])
         sizes[first:last] = lengths
         keys = np.concatenate(parts)
@@ -165,7 +159,6 @@ def _entropies(texts: list[str | None], models: list[KneserNey]) -> tuple[np.nda
             for j, model in enumerate(models):
                 sums = np.add.reduceat(model.log_p(distinct)[codes], begins)
                 out[first + filled, j] = -sums / lengths[filled]
-        first = last
     return out, sizes
 
 
@@ -295,7 +288,7 @@ def _calibrate(models: dict[str, KneserNey], texts: DataFrame, path: str) -> Non
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, own = _load(path)
         for batch in batches:
-            found, sizes = _entropies(batch.column(1).to_pylist(), own)
+            found, sizes = _entropies(batch.column(1), own)
             at = [langs.index(x) if x in langs else -1 for x in batch.column(0).to_pylist()]
             entropy = np.where(np.array(at) >= 0, found[np.arange(len(at)), at], np.nan)
             yield pa.RecordBatch.from_arrays(
@@ -337,7 +330,7 @@ def predictor(path: str):
     @F.arrow_udf(PREDICTION)
     def predict(texts: pa.Array) -> pa.Array:
         langs, models = _load(path)
-        found, sizes = _entropies(texts.to_pylist(), models)
+        found, sizes = _entropies(texts, models)
         n = len(sizes)
         if not langs:
             blank = [UNKNOWN] * n

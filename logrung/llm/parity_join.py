@@ -31,6 +31,8 @@ from logrung.session import landed
 
 #: Members of a bucket that are compared in one task with as many others.
 BLOCK = 512
+#: Keys that a task holds before it sends them.
+KEYS_AT_ONCE = 1 << 18
 _BAND_BITS = 8
 _ROUND = np.uint64(0x9FB21C651E98DF25)
 
@@ -164,15 +166,28 @@ def shingle_nodes(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
 def part_entries(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
     """(key, node, hub): a row for each emitted part key, copies in a batch of rows once.
 
-    Sets of one batch that share a key are already tied here: the first one
-    stands for them (hub null) and the others point to it (hub set). A key of
-    very many sets thus sends one row for each batch, not one for each set.
+    Sets of one batch (of its parts of about KEYS_AT_ONCE keys) that share a key
+    are already tied here: the first one stands for them (hub null) and the
+    others point to it (hub set). A key of very many sets thus sends one row
+    for each part, not one for each set.
     """
 
+    def tied(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        hub = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(node), pa.array(hub, mask=first)],
+            names=["key", "node", "hub"],
+        )
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            keys, nodes = [], []
+            keys, nodes, held = [], [], 0
             for s in _sets(batch.column(0), words):
                 if not len(s):
                     continue
@@ -184,18 +199,12 @@ def part_entries(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
                     own = part_keys(s, band, limit)
                     keys.append(own)
                     nodes.append(np.full(len(own), node, np.int64))
-            if not keys:
-                continue
-            key, node = np.concatenate(keys), np.concatenate(nodes)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            hub = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(node), pa.array(hub, mask=first)],
-                names=["key", "node", "hub"],
-            )
+                    held += len(own)
+                if held >= KEYS_AT_ONCE:
+                    yield tied(keys, nodes)
+                    keys, nodes, held = [], [], 0
+            if keys:
+                yield tied(keys, nodes)
 
     return _with_text(docs).select("text").mapInArrow(emit, "key long, node long, hub long")
 
@@ -246,10 +255,14 @@ def set_bodies(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {set_id(s): s.tobytes() for s in _sets(batch.column(1), words) if len(s)}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], names=["node", "hashes"]
-            )
+            texts = batch.column(1)
+            for first, last in text_slices(texts, 4 << 20):
+                part = texts.slice(first, last - first)
+                sets = {set_id(s): s.tobytes() for s in _sets(part, words) if len(s)}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())],
+                    names=["node", "hashes"],
+                )
 
     chosen = nodes.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = landed(chosen.select(F.col("doc_id").alias("chosen_id")).distinct(), "chosen-ids")

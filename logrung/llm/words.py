@@ -46,7 +46,7 @@ class Words:
     chars: np.ndarray
 
 
-def text_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``size`` bytes of text: (first, last + 1)."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(lengths)
