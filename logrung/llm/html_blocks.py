@@ -39,9 +39,10 @@ MAIN_NAMES = frozenset("main article articlebody".split())
 
 
 class Run(NamedTuple):
-    """A text run: ``path`` of its element, decoded text, and what its ancestors say about it."""
+    """A text run: ``path`` of its element, ``slot`` as path of the block around it, text, and what its ancestors say."""
 
     path: str
+    slot: str
     text: str
     block: int
     boilerplate: bool
@@ -52,6 +53,7 @@ class Run(NamedTuple):
 class _Open(NamedTuple):
     tag: str
     path: str
+    slot: str
     boilerplate: bool
     main: bool
     link: bool
@@ -79,12 +81,13 @@ def _opened(parent: _Open, tag: str, attributes: str) -> _Open:
     boilerplate = boilerplate or (tag == "header" and not parent.main)
     main = parent.main or tag in MAIN_TAGS or bool(words & MAIN_NAMES)
     name = f"{tag}.{label}" if label else tag
-    return _Open(tag, f"{parent.path}/{name}", boilerplate, main, parent.link or tag == "a")
+    path = f"{parent.path}/{name}"
+    return _Open(tag, path, parent.slot if tag in INLINE else path, boilerplate, main, parent.link or tag == "a")
 
 
 def walk(html: str) -> Iterator[Run | str]:
     """Text runs in page order, and the path of every element as it opens."""
-    stack = [_Open("", "", False, False, False)]
+    stack = [_Open("", "", "", False, False, False)]
     block, at, n = 0, 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
@@ -95,7 +98,7 @@ def walk(html: str) -> Iterator[Run | str]:
         if start > at:
             top = stack[-1]
             text = html[at:start]
-            yield Run(top.path, unescape(text) if "&" in text else text, block, top.boilerplate, top.main, top.link)
+            yield Run(top.path, top.slot, unescape(text) if "&" in text else text, block, top.boilerplate, top.main, top.link)
         if m is None:
             return
         at = m.end()
@@ -112,7 +115,7 @@ def walk(html: str) -> Iterator[Run | str]:
             continue
         if tag == "br":
             top = stack[-1]
-            yield Run(top.path, " ", block, top.boilerplate, top.main, top.link)
+            yield Run(top.path, top.slot, " ", block, top.boilerplate, top.main, top.link)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)

@@ -28,20 +28,23 @@ from logrung.session import landed
 
 #: A token of the template occurs on this share of a host's pages at least.
 SUPPORT = 0.5
-#: Below so many pages nothing can be told to be constant.
+#: Below so many pages of unlike text nothing can be told to be constant.
 LEAST_PAGES = 3
 #: Share of a slot's characters inside links from which it is a menu.
 LINK_SHARE = 0.5
+#: Blocks of nothing but links are a slot of their own beside the sentences of the same path.
+_LINKS = "/=links"
 
 _TOKENS = (
     "host string, token string, pages long, occurrences long, vector long, chars long, link_chars long, "
-    "lowest long, highest long"
+    "lowest long, highest long, contents array<long>"
 )
 _TOKEN_SCHEMA = pa.schema(
     [
         ("host", pa.string()),
         ("token", pa.string()),
         *[(c, pa.int64()) for c in ("pages", "occurrences", "vector", "chars", "link_chars", "lowest", "highest")],
+        ("contents", pa.list_(pa.int64())),
     ]
 )
 _MASK = (1 << 64) - 1
@@ -51,22 +54,47 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _page_tokens(html: str) -> dict[str, list[int]]:
-    """token -> [occurrences, chars, link chars, hash of its text]."""
+def _slotted(html: str) -> Iterator[tuple[str, Run | None]]:
+    """(path, None) of every element as it opens, (slot, run) of every text run.
+
+    A slot is the block around a run: an inline element, such as a link, is part of a sentence and no slot.
+    """
+    items = list(walk(html))
+    plain = {x.block for x in items if isinstance(x, Run) and not x.link and any(map(str.isalnum, x.text))}
+    linked = {x.block for x in items if isinstance(x, Run) and x.link and not x.text.isspace()} - plain
+    opened = set()
+    for x in items:
+        if isinstance(x, str):
+            yield x, None
+            continue
+        slot = x.slot
+        if x.block in linked:
+            slot += _LINKS
+            if x.block not in opened:
+                opened.add(x.block)
+                yield slot, None
+        yield slot, x
+
+
+def _page_tokens(html: str) -> tuple[dict[str, list[int]], int]:
+    """token -> [occurrences, chars, link chars, hash of its text], and a hash of the page's text."""
     found: dict[str, list] = {}
     texts: dict[str, list[str]] = {}
-    for item in walk(html):
-        if isinstance(item, str):
-            found.setdefault(item, [0, 0, 0, 0])[0] += 1
-        elif not item.text.isspace():
-            own = found.setdefault(item.path, [0, 0, 0, 0])
-            size = len(item.text.strip())
+    whole: list[str] = []
+    for slot, run in _slotted(html):
+        if run is None:
+            found.setdefault(slot, [0, 0, 0, 0])[0] += 1
+        elif not run.text.isspace():
+            own = found.setdefault(slot, [0, 0, 0, 0])
+            size = len(run.text.strip())
             own[1] += size
-            own[2] += size if item.link else 0
-            texts.setdefault(item.path, []).append(" ".join(item.text.split()))
+            own[2] += size if run.link else 0
+            text = " ".join(run.text.split())
+            texts.setdefault(slot, []).append(text)
+            whole.append(text)
     for path, parts in texts.items():
         found[path][3] = _signed(xxhash.xxh64_intdigest("\n".join(parts)))
-    return found
+    return found, _signed(xxhash.xxh64_intdigest("\n".join(whole)))
 
 
 def token_table(pages: DataFrame) -> DataFrame:
@@ -76,8 +104,9 @@ def token_table(pages: DataFrame) -> DataFrame:
         for batch in batches:
             sums: dict[tuple[str, str], list[int]] = {}
             for host, row, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for token, (times, chars, links, text) in _page_tokens(html or "").items():
-                    own = sums.setdefault((host, token), [0, 0, 0, 0, 0, text, text])
+                page, content = _page_tokens(html or "")
+                for token, (times, chars, links, text) in page.items():
+                    own = sums.setdefault((host, token), [0, 0, 0, 0, 0, text, text, []])
                     own[0] += 1
                     own[1] += times
                     own[2] = (own[2] + xxhash.xxh64_intdigest(f"{row}:{times}")) & _MASK
@@ -85,6 +114,8 @@ def token_table(pages: DataFrame) -> DataFrame:
                     own[4] += links
                     own[5] = min(own[5], text)
                     own[6] = max(own[6], text)
+                    if len(own[7]) < LEAST_PAGES and content not in own[7]:
+                        own[7].append(content)
             rows = [(*k, v[0], v[1], _signed(v[2]), *v[3:]) for k, v in sums.items()]
             if rows:
                 columns = zip(*rows, strict=True)
@@ -107,6 +138,8 @@ def token_table(pages: DataFrame) -> DataFrame:
             F.sum("link_chars").alias("link_chars"),
             F.min("lowest").alias("lowest"),
             F.max("highest").alias("highest"),
+            # Of unlike page texts each batch sends LEAST_PAGES at most.
+            F.size(F.array_distinct(F.flatten(F.collect_set("contents")))).alias("contents"),
         )
         .withColumn("v_high", F.col("v_high") + F.shiftright("v_low", 32))
         .withColumn("v_low", F.expr("v_low & 4294967295"))
@@ -121,7 +154,7 @@ def templates(tokens: DataFrame, host_pages: DataFrame) -> DataFrame:
     A class is the tokens of a host with one occurrence vector. Its parent is
     the class around it; a class whose tokens lie in several other classes
     does not nest and is left out. ``furniture`` marks a slot that reads the
-    same on all its pages, or is mostly links.
+    same on all its pages, LEAST_PAGES of unlike text at least, or is mostly links.
     """
     classed = landed(
         tokens.join(host_pages, "host")
@@ -139,7 +172,7 @@ def templates(tokens: DataFrame, host_pages: DataFrame) -> DataFrame:
         .where(F.col("first").eqNullSafe(F.col("last")))
         .select("host", "class", F.col("first").alias("around"))
     )
-    constant = (F.col("lowest") == F.col("highest")) & (F.col("pages") >= LEAST_PAGES)
+    constant = (F.col("lowest") == F.col("highest")) & (F.col("contents") >= LEAST_PAGES)
     links = F.col("link_chars") >= LINK_SHARE * F.col("chars")
     return placed.join(nested, ["host", "class"]).select(
         "host",
@@ -152,12 +185,12 @@ def templates(tokens: DataFrame, host_pages: DataFrame) -> DataFrame:
 
 def main_text(html: str | None, furniture: list[str] | None) -> str:
     """The page's own text: inside its article or main element if it has text there, else its free slots."""
-    runs = [x for x in walk(html or "") if isinstance(x, Run) and not x.boilerplate]
-    inside = [r for r in runs if r.main]
+    runs = [(slot, x) for slot, x in _slotted(html or "") if x and not x.boilerplate]
+    inside = [r for _, r in runs if r.main]
     if any(not r.text.isspace() for r in inside):
         return joined(inside)
     fixed = set(furniture or ())
-    return joined([r for r in runs if r.path not in fixed])
+    return joined([r for slot, r in runs if slot not in fixed])
 
 
 @F.arrow_udf(T.StringType())

@@ -88,3 +88,15 @@ def test_odd_rows(spark):
     got = sorted(r.text for r in extract_main_text(pages).collect())
     assert got == ["", "", "", "x", "y"]
     assert extract_main_text(pages.limit(0)).collect() == []
+
+
+def test_links_in_sentences_and_copies_of_a_page_keep_their_text(spark):
+    linked = "<div><p>Read <a href='/a'>the long manual</a> before <b>any</b> use of it.</p><ul><li><a>Home</a></li></ul></div>"
+    copy = "<div><h2>Only title</h2><p>Only text.</p></div>"
+    rows = [(1, "http://one.example/", linked)] + [(10 + i, "http://copies.example/", copy) for i in range(4)]
+    rows += [(20 + i, "http://c.example/", f"<p>Sold by us</p><div>Price: <b>{i}</b> now</div>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(pages.repartition(3)).collect()}
+    assert got[1] == "Read the long manual before any use of it."
+    assert all(got[10 + i] == "Only title Only text." for i in range(4))
+    assert all(got[20 + i] == f"Price: {i} now" for i in range(4))
