@@ -32,18 +32,23 @@ SUPPORT = 0.5
 LEAST_PAGES = 3
 #: Share of a slot's characters inside links from which it is a menu.
 LINK_SHARE = 0.5
+#: Share of a host's free text that its article or main element must hold to be taken for one.
+MAIN_SHARE = 0.5
 #: Blocks of nothing but links are a slot of their own beside the sentences of the same path.
 _LINKS = "/=links"
 
+_NUMBERS = (
+    "pages", "occurrences", "vector", "chars", "link_chars", "main_chars", "own_chars", "lowest", "highest"
+)
 _TOKENS = (
     "host string, token string, pages long, occurrences long, vector long, chars long, link_chars long, "
-    "lowest long, highest long, contents array<long>"
+    "main_chars long, own_chars long, lowest long, highest long, contents array<long>"
 )
 _TOKEN_SCHEMA = pa.schema(
     [
         ("host", pa.string()),
         ("token", pa.string()),
-        *[(c, pa.int64()) for c in ("pages", "occurrences", "vector", "chars", "link_chars", "lowest", "highest")],
+        *[(c, pa.int64()) for c in _NUMBERS],
         ("contents", pa.list_(pa.int64())),
     ]
 )
@@ -77,23 +82,25 @@ def _slotted(html: str) -> Iterator[tuple[str, Run | None]]:
 
 
 def _page_tokens(html: str) -> tuple[dict[str, list[int]], int]:
-    """token -> [occurrences, chars, link chars, hash of its text], and a hash of the page's text."""
+    """token -> [occurrences, chars, those in links, in main, not boilerplate, hash of its text], and a hash of all text."""
     found: dict[str, list] = {}
     texts: dict[str, list[str]] = {}
     whole: list[str] = []
     for slot, run in _slotted(html):
         if run is None:
-            found.setdefault(slot, [0, 0, 0, 0])[0] += 1
+            found.setdefault(slot, [0, 0, 0, 0, 0, 0])[0] += 1
         elif not run.text.isspace():
-            own = found.setdefault(slot, [0, 0, 0, 0])
+            own = found.setdefault(slot, [0, 0, 0, 0, 0, 0])
             size = len(run.text.strip())
             own[1] += size
             own[2] += size if run.link else 0
+            own[3] += size if run.main and not run.boilerplate else 0
+            own[4] += 0 if run.boilerplate else size
             text = " ".join(run.text.split())
             texts.setdefault(slot, []).append(text)
             whole.append(text)
     for path, parts in texts.items():
-        found[path][3] = _signed(xxhash.xxh64_intdigest("\n".join(parts)))
+        found[path][5] = _signed(xxhash.xxh64_intdigest("\n".join(parts)))
     return found, _signed(xxhash.xxh64_intdigest("\n".join(whole)))
 
 
@@ -105,17 +112,17 @@ def token_table(pages: DataFrame) -> DataFrame:
             sums: dict[tuple[str, str], list[int]] = {}
             for host, row, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page, content = _page_tokens(html or "")
-                for token, (times, chars, links, text) in page.items():
-                    own = sums.setdefault((host, token), [0, 0, 0, 0, 0, text, text, []])
+                for token, (times, *chars, text) in page.items():
+                    own = sums.setdefault((host, token), [0, 0, 0, 0, 0, 0, 0, text, text, []])
                     own[0] += 1
                     own[1] += times
                     own[2] = (own[2] + xxhash.xxh64_intdigest(f"{row}:{times}")) & _MASK
-                    own[3] += chars
-                    own[4] += links
-                    own[5] = min(own[5], text)
-                    own[6] = max(own[6], text)
-                    if len(own[7]) < LEAST_PAGES and content not in own[7]:
-                        own[7].append(content)
+                    for i, c in enumerate(chars, 3):
+                        own[i] += c
+                    own[7] = min(own[7], text)
+                    own[8] = max(own[8], text)
+                    if len(own[9]) < LEAST_PAGES and content not in own[9]:
+                        own[9].append(content)
             rows = [(*k, v[0], v[1], _signed(v[2]), *v[3:]) for k, v in sums.items()]
             if rows:
                 columns = zip(*rows, strict=True)
@@ -135,7 +142,7 @@ def token_table(pages: DataFrame) -> DataFrame:
             F.sum(high).alias("v_high"),
             F.sum(low).alias("v_low"),
             F.sum("chars").alias("chars"),
-            F.sum("link_chars").alias("link_chars"),
+            *[F.sum(c).alias(c) for c in ("link_chars", "main_chars", "own_chars")],
             F.min("lowest").alias("lowest"),
             F.max("highest").alias("highest"),
             # Of unlike page texts each batch sends LEAST_PAGES at most.
@@ -149,12 +156,13 @@ def token_table(pages: DataFrame) -> DataFrame:
 
 
 def templates(tokens: DataFrame, host_pages: DataFrame) -> DataFrame:
-    """(host, token, class, parent_class, furniture) for the tokens of valid classes.
+    """(host, token, class, parent_class, furniture, free, main_chars, own_chars) for the tokens of valid classes.
 
     A class is the tokens of a host with one occurrence vector. Its parent is
     the class around it; a class whose tokens lie in several other classes
     does not nest and is left out. ``furniture`` marks a slot that reads the
-    same on all its pages, LEAST_PAGES of unlike text at least, or is mostly links.
+    same on all its pages, LEAST_PAGES of unlike text at least, or is mostly links;
+    ``free`` one that is filled differently on as many pages.
     """
     classed = landed(
         tokens.join(host_pages, "host")
@@ -180,22 +188,56 @@ def templates(tokens: DataFrame, host_pages: DataFrame) -> DataFrame:
         "class",
         F.col("around").alias("parent_class"),
         ((F.col("chars") > 0) & (constant | links)).alias("furniture"),
+        ((F.col("chars") > 0) & (F.col("contents") >= LEAST_PAGES) & ~(constant | links)).alias("free"),
+        "main_chars",
+        "own_chars",
     )
 
 
-def main_text(html: str | None, furniture: list[str] | None) -> str:
-    """The page's own text: inside its article or main element if it has text there, else its free slots."""
+def slots_by_host(found: DataFrame) -> DataFrame:
+    """(host, furniture, own, main_holds): what the template says of a host's slots.
+
+    Free slots are ``own``, the text of the pages. Free slots outside the
+    article or main element (advertisements also change from page to page) tie
+    with those inside; ``main_holds`` breaks the tie when the slots inside hold
+    most of the host's free text. Where they do not, the element is no main
+    one and all free slots are own. It is null when no slot could be told.
+    """
+    free = F.col("free") & (F.col("own_chars") > 0)
+    held = found.where("furniture or free").groupBy("host").agg(
+        F.sort_array(F.collect_list(F.when(F.col("furniture"), F.col("token")))).alias("furniture"),
+        F.sort_array(F.collect_list(F.when(free, F.struct("token", (F.col("main_chars") > 0).alias("main"))))).alias("free"),
+        F.sum(F.when(free, F.col("main_chars"))).alias("inside"),
+        F.sum(F.when(free, F.col("own_chars"))).alias("all"),
+    )
+    holds = F.col("inside") >= MAIN_SHARE * F.col("all")
+    own = F.filter("free", lambda x: x["main"] | ~holds)
+    return held.select("host", "furniture", F.transform(own, lambda x: x["token"]).alias("own"), holds.alias("main_holds"))
+
+
+def main_text(
+    html: str | None, furniture: list[str] | None, own: list[str] | None = None, main_holds: bool | None = None
+) -> str:
+    """The page's own text: its template's own slots, and what the template leaves open.
+
+    Open are slots that are not in the template, or on a host of too few
+    pages. Those in an article or main element count as own, and others too
+    where ``main_holds`` is false. Inside an article that holds, repeated text
+    stays. A page with no such text gives all that is not furniture.
+    """
+    fixed, ours = set(furniture or ()), set(own or ())
+    trusted = main_holds is not False
     runs = [(slot, x) for slot, x in _slotted(html or "") if x and not x.boilerplate]
-    inside = [r for _, r in runs if r.main]
-    if any(not r.text.isspace() for r in inside):
-        return joined(inside)
-    fixed = set(furniture or ())
+    taken = [r for slot, r in runs if slot in ours or (r.main if trusted else slot not in fixed)]
+    if any(not r.text.isspace() for r in taken):
+        return joined(taken)
     return joined([r for slot, r in runs if slot not in fixed])
 
 
 @F.arrow_udf(T.StringType())
-def _extract(html: pa.Array, furniture: pa.Array) -> pa.Array:
-    return pa.array([main_text(h, f) for h, f in zip(html.to_pylist(), furniture.to_pylist(), strict=True)], pa.string())
+def _extract(html: pa.Array, furniture: pa.Array, own: pa.Array, holds: pa.Array) -> pa.Array:
+    rows = zip(html.to_pylist(), furniture.to_pylist(), own.to_pylist(), holds.to_pylist(), strict=True)
+    return pa.array([main_text(*row) for row in rows], pa.string())
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -204,8 +246,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Pages of one host share a template; a null url, or one without a host, is
     the host "". Null and empty html give an empty text. Repeated rows are
     pages of their own; an empty table gives no rows. Other columns are not
-    read. Nothing is dropped from an article: what many pages of a host repeat
-    inside it stays.
+    read. What many pages of a host repeat inside an article stays.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn(
         "host", F.coalesce(host_of(F.col("url").cast("string")), F.lit(""))
@@ -213,10 +254,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     tokens = landed(token_table(rows), "page-tokens")
     counts = landed(rows.groupBy("host").agg(F.count("*").alias("host_pages")), "host-pages")
     found = templates(tokens, counts)
-    by_host = landed(
-        found.where("furniture").groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("furniture")),
-        "templates",
-    )
+    by_host = landed(slots_by_host(found), "templates")
     return rows.join(by_host, "host", "left").select(
-        "page_id", "url", _extract("html", "furniture").alias("text")
+        "page_id", "url", _extract("html", "furniture", "own", "main_holds").alias("text")
     )

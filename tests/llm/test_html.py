@@ -100,3 +100,18 @@ def test_links_in_sentences_and_copies_of_a_page_keep_their_text(spark):
     assert got[1] == "Read the long manual before any use of it."
     assert all(got[10 + i] == "Only title Only text." for i in range(4))
     assert all(got[20 + i] == f"Price: {i} now" for i in range(4))
+
+
+def test_the_template_decides_whether_an_article_element_is_the_article(spark):
+    def page(i):
+        teaser = f"<article>Teaser {i}</article>"
+        return f"<body><div class='top'>Shop</div><h1>Title {i}</h1><section><p>{f'Long body {i} of it. ' * 9}</p></section>{teaser}</body>"
+
+    rows = [(i, "http://a.example/", page(i)) for i in range(4)] + [
+        (10 + i, "http://b.example/", f"<p>Offer {i}</p><article><h1>Title {i}</h1><p>{'Body. ' * 9}</p><p>Always.</p></article>") for i in range(4)
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(pages.repartition(3)).collect()}
+    for i in range(4):
+        assert got[i] == f"Title {i} {f'Long body {i} of it. ' * 9}Teaser {i}"
+        assert got[10 + i] == f"Title {i} {'Body. ' * 9}Always."
