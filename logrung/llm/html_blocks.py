@@ -34,6 +34,8 @@ BOILERPLATE_NAMES = frozenset(
     "breadcrumbs newsletter subscribe signup login search searchform widget pagination pager toolbar topbar "
     "copyright legal complementary contentinfo".split()
 )
+#: Their own names say nothing about being boilerplate.
+UNNAMED = frozenset("html body main article".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("main article articlebody".split())
 
@@ -48,6 +50,8 @@ class Run(NamedTuple):
     boilerplate: bool
     main: bool
     link: bool
+    #: Inside the main element, under a name of boilerplate: a hint that the template has to confirm.
+    named: bool
 
 
 class _Open(NamedTuple):
@@ -57,11 +61,12 @@ class _Open(NamedTuple):
     boilerplate: bool
     main: bool
     link: bool
+    named: bool
 
 
-def _names(attributes: str) -> tuple[str, set[str], bool]:
-    """(label for the path, words of class, id and role, hidden)."""
-    label, words, hidden = [], set(), False
+def _names(attributes: str) -> tuple[str, set[str], set[str], bool]:
+    """(label for the path, words of class, id and role, whole names in them, hidden)."""
+    label, words, names, hidden = [], set(), set(), False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -71,23 +76,27 @@ def _names(attributes: str) -> tuple[str, set[str], bool]:
         elif name != "aria-hidden" and value:
             label.append(_DIGITS.sub("0", value))
             words.update(_NAME_PARTS.split(value))
-    return " ".join(label), words, hidden
+            names.update(value.split())
+    return " ".join(label), words, names, hidden
 
 
 def _opened(parent: _Open, tag: str, attributes: str) -> _Open:
-    label, words, hidden = _names(attributes) if "=" in attributes or "hidden" in attributes else ("", set(), False)
-    boilerplate = parent.boilerplate or hidden or tag in BOILERPLATE_TAGS or bool(words & BOILERPLATE_NAMES)
+    label, words, names, hidden = (
+        _names(attributes) if "=" in attributes or "hidden" in attributes else ("", set(), set(), False)
+    )
+    listed = tag not in UNNAMED and bool(names & BOILERPLATE_NAMES)
+    boilerplate = parent.boilerplate or hidden or tag in BOILERPLATE_TAGS or (listed and not parent.main)
     # An article's own header holds its title; any other header is the page's.
     boilerplate = boilerplate or (tag == "header" and not parent.main)
     main = parent.main or tag in MAIN_TAGS or bool(words & MAIN_NAMES)
     name = f"{tag}.{label}" if label else tag
     path = f"{parent.path}/{name}"
-    return _Open(tag, path, parent.slot if tag in INLINE else path, boilerplate, main, parent.link or tag == "a")
+    return _Open(tag, path, parent.slot if tag in INLINE else path, boilerplate, main, parent.link or tag == "a", parent.named or (listed and parent.main))
 
 
 def walk(html: str) -> Iterator[Run | str]:
     """Text runs in page order, and the path of every element as it opens."""
-    stack = [_Open("", "", "", False, False, False)]
+    stack = [_Open("", "", "", False, False, False, False)]
     block, at, n = 0, 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
@@ -98,7 +107,7 @@ def walk(html: str) -> Iterator[Run | str]:
         if start > at:
             top = stack[-1]
             text = html[at:start]
-            yield Run(top.path, top.slot, unescape(text) if "&" in text else text, block, top.boilerplate, top.main, top.link)
+            yield Run(top.path, top.slot, unescape(text) if "&" in text else text, block, *top[3:])
         if m is None:
             return
         at = m.end()
@@ -115,7 +124,7 @@ def walk(html: str) -> Iterator[Run | str]:
             continue
         if tag == "br":
             top = stack[-1]
-            yield Run(top.path, top.slot, " ", block, top.boilerplate, top.main, top.link)
+            yield Run(top.path, top.slot, " ", block, *top[3:])
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)

@@ -223,11 +223,17 @@ def main_text(
     Open are slots that are not in the template, or on a host of too few
     pages. Those in an article or main element count as own, and others too
     where ``main_holds`` is false. Inside an article that holds, repeated text
-    stays. A page with no such text gives all that is not furniture.
+    stays, unless a name there says boilerplate too. Without a template at all
+    (``own`` is None) the name alone decides. A page with no such text gives
+    all that is not furniture.
     """
     fixed, ours = set(furniture or ()), set(own or ())
     trusted = main_holds is not False
-    runs = [(slot, x) for slot, x in _slotted(html or "") if x and not x.boilerplate]
+    runs = [
+        (slot, x)
+        for slot, x in _slotted(html or "")
+        if x and not x.boilerplate and not (x.named and (own is None or slot in fixed))
+    ]
     taken = [r for slot, r in runs if slot in ours or (r.main if trusted else slot not in fixed)]
     if any(not r.text.isspace() for r in taken):
         return joined(taken)
@@ -246,7 +252,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Pages of one host share a template; a null url, or one without a host, is
     the host "". Null and empty html give an empty text. Repeated rows are
     pages of their own; an empty table gives no rows. Other columns are not
-    read. What many pages of a host repeat inside an article stays.
+    read. What many pages of a host repeat inside an article stays, unless it
+    also has the class, id or role of boilerplate.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn(
         "host", F.coalesce(host_of(F.col("url").cast("string")), F.lit(""))
@@ -256,5 +263,5 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     found = templates(tokens, counts)
     by_host = landed(slots_by_host(found), "templates")
     return rows.join(by_host, "host", "left").select(
-        "page_id", "url", _extract("html", "furniture", "own", "main_holds").alias("text")
+        "page_id", "url", _extract("html", "furniture", F.coalesce("own", F.array().cast("array<string>")), "main_holds").alias("text")
     )

@@ -115,3 +115,16 @@ def test_the_template_decides_whether_an_article_element_is_the_article(spark):
     for i in range(4):
         assert got[i] == f"Title {i} {f'Long body {i} of it. ' * 9}Teaser {i}"
         assert got[10 + i] == f"Title {i} {'Body. ' * 9}Always."
+
+
+def test_names_drop_nothing_of_an_article_that_the_template_does_not_confirm(spark):
+    one = (
+        '<body class="no-sidebar ad"><main class="with-sidebar"><article class="post comments-open comments">'
+        '<p class="notice">Notice.</p><div class="related">Related work.</div><p class="legal">Law.</p>End</article></main></body>'
+    )
+    many = [f'<article><p class="notice">Notice {i}.</p><p>Body {i}.</p><div class="newsletter">Join us</div><p>Same.</p></article>' for i in range(4)]
+    rows = [(9, "http://one.example/", one)] + [(i, "http://many.example/", x) for i, x in enumerate(many)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    assert got[9] == "Notice. Related work. Law. End"
+    assert [got[i] for i in range(4)] == [f"Notice {i}. Body {i}. Same." for i in range(4)]
