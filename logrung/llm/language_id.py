@@ -33,6 +33,11 @@ ORDER = 4
 TEXTS_PER_LANGUAGE = 4000
 #: One training text in so many calibrates the rejection instead of being counted.
 CALIBRATION_SHARE = 8
+#: Fewer calibration texts than this say too little; all texts of such a language are counted, and cross-fitted.
+LEAST_CALIBRATION = 10
+#: Cross-fits leave out one piece in so many, of texts cut to so many characters.
+CROSS_FITS = 4
+PIECE = 400
 #: Characters beyond which more text makes a cross-entropy no surer.
 _SURE = 400
 #: One nat for each character of a long text, more for shorter ones; texts in several languages stay.
@@ -256,56 +261,107 @@ def train(docs: DataFrame, learn: Column, texts_per_language: int = TEXTS_PER_LA
         .select("lang", "text", "calibrates"),
         "language-sample",
     )
-    counts = _gram_counts(sample.where("not calibrates")).toPandas()
-    if not len(counts):
-        counts = _gram_counts(sample).toPandas()
+    lettered = F.col("text").rlike(r"\p{L}")
+    calibrating = {
+        r.lang: r.n for r in sample.groupBy("lang").agg(F.count_if(F.col("calibrates") & lettered).alias("n")).collect()
+    }
+    small = F.col("lang").isin([x for x, n in calibrating.items() if n < LEAST_CALIBRATION])
+    counts = _gram_counts(sample.where(~F.col("calibrates") | small)).toPandas()
     if not len(counts):
         return ""
     keys = counts["key"].to_numpy().view(np.uint64)
     alphabet = len(np.unique(_suffix(keys, 1))) + 1
-    models = {}
-    for lang in sorted(counts["lang"].unique()):
-        own = (counts["lang"] == lang).to_numpy()
-        order = np.argsort(keys[own])
-        models[lang] = KneserNey.build(keys[own][order], counts["n"].to_numpy()[own][order], alphabet)
+    models = _built(counts, alphabet)
+    pieces = _pieces(sample.where(small))
+    fits, unsure = _cross_fits(_gram_counts(pieces).toPandas(), alphabet)
     folder = shared_folder(spark, "language-models")
     draft = attempt_name(folder, "draft", ".arrow")
-    _save(models, draft)
-    _calibrate(models, sample.where("calibrates"), draft)
+    _save(models | fits, draft)
+    whole = sample.where(F.col("calibrates") & ~small).select("lang", F.col("lang").alias("model"), "text")
+    held = pieces.select(F.split_part("lang", F.lit("\x00"), F.lit(1)).alias("lang"), F.col("lang").alias("model"), "text")
+    _calibrate(models, whole.unionByName(held), draft, unsure)
     path = attempt_name(folder, "models", ".arrow")
     _save(models, path)
     return path
 
 
-def _calibrate(models: dict[str, KneserNey], texts: DataFrame, path: str) -> None:
+def _built(counts: pd.DataFrame, alphabet: int) -> dict[str, KneserNey]:
+    """A model for each name in ``lang`` of (lang, key, n)."""
+    models = {}
+    for lang, own in counts.groupby("lang", sort=True):
+        keys, n = own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()
+        order = np.argsort(keys)
+        models[lang] = KneserNey.build(keys[order], n[order], alphabet)
+    return models
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    """(lang, text): texts in pieces, the language followed by the number of the cross-fit that leaves the piece out.
+
+    Copies of a text are left out together.
+    """
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PIECE).cast("int"))
+    cut = texts.select("lang", "text", F.explode(starts).alias("i"))
+    fit = F.pmod(F.xxhash64("text") + F.col("i"), F.lit(CROSS_FITS)).cast("string")
+    return cut.select(
+        F.concat("lang", F.lit("\x00"), fit).alias("lang"), F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("text")
+    )
+
+
+def _cross_fits(counts: pd.DataFrame, alphabet: int) -> tuple[dict[str, KneserNey], set[str]]:
+    """Models of each language by all pieces but those of one number, under the name that these pieces have.
+
+    Also the languages whose pieces all have one number: their model has counted the pieces it is measured on.
+    """
+    fits, unsure = {}, set()
+    for lang, own in counts.groupby(counts["lang"].str.partition("\x00")[0] if len(counts) else "lang"):
+        names = own["lang"].unique()
+        if len(names) == 1:
+            unsure.add(lang)
+        for name in names:
+            others = own[(own["lang"] != name) | (len(names) == 1)].groupby("key", as_index=False)["n"].sum()
+            fits |= _built(others.assign(lang=name), alphabet)
+    return fits, unsure
+
+
+def _calibrate(models: dict[str, KneserNey], texts: DataFrame, path: str, unsure: set[str]) -> None:
     """Set each model's usual cross-entropy and the surprise above which a text is rejected.
 
-    Measured on texts of its own language that were not counted. The limit is
-    twice what all but one in a thousand of them stay below, and no less than
-    LEAST_LIMIT where few texts say little about the rest.
+    Measured on texts (lang, model, text) of its own language that the named
+    model has not counted. The limit is twice what all but one in a thousand
+    of them stay below, and no less than LEAST_LIMIT where few texts say
+    little about the rest. A language with too few of them, or one of
+    ``unsure``, takes the largest limit and at least the largest usual
+    cross-entropy of the others; LEAST_LIMIT and its own where there is no other.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, own = _load(path)
+        own = dict(zip(*_load(path), strict=True))
         for batch in batches:
-            found, sizes = _entropies(batch.column(1), own)
-            at = [langs.index(x) if x in langs else -1 for x in batch.column(0).to_pylist()]
-            entropy = np.where(np.array(at) >= 0, found[np.arange(len(at)), at], np.nan)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(entropy), pa.array(sizes)], names=["lang", "entropy", "size"]
-            )
+            names = np.array(batch.column(1).to_pylist(), object)
+            for name in sorted(set(names.tolist()) & own.keys()):
+                rows = pa.array(np.flatnonzero(names == name))
+                found, sizes = _entropies(batch.column(2).take(rows), [own[name]])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), pa.array(found[:, 0]), pa.array(sizes)], names=["lang", "entropy", "size"]
+                )
 
-    rows = texts.select("lang", "text").mapInArrow(measure, "lang string, entropy double, size long").toPandas()
-    rows = rows[(rows["size"] > 0) & rows["entropy"].notna()]
+    rows = texts.select("lang", "model", "text").mapInArrow(measure, "lang string, entropy double, size long").toPandas()
+    rows = rows[rows["size"] > 0]
+    open_ = []
     for lang, model in models.items():
         own = rows[rows["lang"] == lang]
-        if len(own) < 10:
-            model.mean, model.limit = 0.0, np.inf
+        if len(own):
+            model.mean = float(np.average(own["entropy"], weights=np.minimum(own["size"], _SURE)))
+        if len(own) < LEAST_CALIBRATION or lang in unsure:
+            open_.append(model)
             continue
-        weight = np.minimum(own["size"], _SURE)
-        model.mean = float(np.average(own["entropy"], weights=weight))
         surprise = _surprise(own["entropy"].to_numpy(), model.mean, own["size"].to_numpy())
         model.limit = max(2 * float(np.quantile(surprise, 0.999)), LEAST_LIMIT)
+    known = [m for m in models.values() if np.isfinite(m.limit)]
+    for model in open_:
+        model.limit = max((m.limit for m in known), default=LEAST_LIMIT)
+        model.mean = max([model.mean, *(m.mean for m in known)])
 
 
 PREDICTION = T.StructType(

@@ -103,3 +103,19 @@ def test_nothing_to_learn_from(spark):
     assert [r.lang_pred for r in rows] == ["und"] * 3 and not any(r.accepted for r in rows)
     assert language_table(docs.limit(0)).collect() == []
     assert accepted_rows(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n_rare", [1, 3, 60])
+def test_a_rare_language_does_not_take_in_foreign_text(spark, n_rare):
+    rng = random.Random(5)
+    rare = ["".join(rng.choices("оаеинтсрвл", k=rng.randint(2, 5))) for _ in range(60)]
+    rare_text = lambda n: " ".join(rng.choices(rare, k=n))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [" ".join("".join(rng.choices(letters, k=7)) for _ in range(200)) for letters in ("qxzjwkvбгд", "日本語中文字", "ωψχφυτσ")]
+    learned = [i for i in range(80_000, 81_000) if zlib.crc32(str(i).encode()) % 4 != 2][:n_rare]
+    odd = [(i, rare_text(150), "xx") for i in learned] + [(90_000 + i, x, None) for i, x in enumerate(junk)] + [(95_000, rare_text(150), None)]
+    both = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    found = {r.doc_id: r for r in language_table(both).collect()}
+    assert [found[90_000 + i].accepted for i in range(3)] == [False] * 3
+    assert found[95_000].lang_pred == "xx" and found[95_000].accepted
+    assert sum(r.accepted for r in found.values()) / len(found) > 0.99
