@@ -3,14 +3,17 @@
 After He et al., "Drain: An Online Log Parsing Approach with Fixed Depth Tree"
 (ICWS 2017): messages are split by token count and leading tokens, then merged
 by token similarity within such a leaf. Mining runs on distinct messages with
-counts, so a message that makes up a third of the log is one row; leaves that
-are still large are split by further tokens until they fit a task.
+counts, so a message that makes up a third of the log is one row. A leaf is
+merged as a whole whatever its size: its messages stream past the templates
+found so far, which are all that a task holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +26,6 @@ UNMATCHED = "<UNKNOWN_FORMAT>"
 SIMILARITY = 0.4
 MAX_CHILDREN = 100
 
-# A leaf holds at most this many messages, or 100 times as many tokens.
-LEAF_ROWS = 20_000
-LEAF_TOKENS_PER_ROW = 100
-MAX_DEPTH = 8
-
 TEMPLATE_COLUMNS = ["template_id", "template", "n_tokens", "messages", "rows", "is_new"]
 
 
@@ -46,110 +44,97 @@ def distinct_messages(df: DataFrame, message: str = "masked") -> DataFrame:
     )
 
 
-def _deepen(keyed: DataFrame, depth: int, max_children: int) -> DataFrame:
-    """Extend each leaf by the token at ``depth``.
+def _leaves(messages: DataFrame, max_children: int) -> DataFrame:
+    """Give every message a leaf by its token count and first token.
 
-    The most frequent tokens of a leaf get a branch each; tokens with digits
-    and all further ones share the wildcard branch.
+    The most frequent first tokens of a token count get a branch each; tokens
+    with digits and all further ones share the wildcard branch.
     """
-    token = F.coalesce(F.get("tokens", F.lit(depth)), F.lit(""))
-    # "\x02" ends a branch name; it cannot occur inside a token.
-    own = F.when(token.rlike(r"\d"), F.lit(WILDCARD)).otherwise(token)
-    rows = keyed.withColumn("_token", own)
-    w = Window.partitionBy("leaf").orderBy(F.col("_weight").desc(), "_token")
+    tokens = F.split("text", " ")
+    first = tokens[0]
+    own = F.when(first.rlike(r"\d"), F.lit(WILDCARD)).otherwise(first)
+    rows = messages.withColumn("_width", F.size(tokens)).withColumn("_token", own)
+    w = Window.partitionBy("_width").orderBy(F.col("_weight").desc(), "_token")
     branches = (
-        rows.groupBy("leaf", "_token")
+        rows.groupBy("_width", "_token")
         .agg(F.sum("rows").alias("_weight"))
         .withColumn("_place", F.row_number().over(w))
         .filter(F.col("_place") < max_children)
-        .select("leaf", "_token", F.lit(True).alias("_kept"))
+        .select("_width", "_token", F.lit(True).alias("_kept"))
     )
     branches = landed(branches, "template-branches")
     branch = F.when(F.col("_kept"), F.col("_token")).otherwise(F.lit(WILDCARD))
+    # "\x02" begins a branch name; it cannot occur inside a token.
     return (
-        rows.join(branches, ["leaf", "_token"], "left")
-        .withColumn("leaf", F.concat("leaf", F.lit("\x02"), branch))
-        .drop("_token", "_kept")
+        rows.join(branches, ["_width", "_token"], "left")
+        .withColumn("leaf", F.concat(F.col("_width").cast("string"), F.lit("\x02"), branch))
+        .drop("_width", "_token", "_kept")
     )
 
 
-def _leaf_sizes(keyed: DataFrame) -> DataFrame:
-    """(leaf, _size) in messages, long messages counting for several."""
-    longest = F.max(F.greatest(F.col("n_tokens") / F.lit(LEAF_TOKENS_PER_ROW), F.lit(1.0)))
-    return keyed.groupBy("leaf").agg((F.count("*") * longest).alias("_size"))
+class _Leaf:
+    """Templates of one leaf, grown message by message; words are numbered as templates need them."""
+
+    def __init__(self, width: int, similarity: float):
+        self.width, self.similarity = width, similarity
+        self.codes: dict[str, int] = {WILDCARD: 0}
+        self.shapes = np.empty((16, width), dtype=np.int64)
+        self.members: list[int] = []
+        self.rows: list[int] = []
+        self.fresh: list[bool] = []
+
+    def add(self, words: list[str], weight: int, stored: bool) -> None:
+        made = len(self.rows)
+        if made and not stored:
+            row = np.array([self.codes.get(w, -1) for w in words], dtype=np.int64)
+            known = self.shapes[:made]
+            equal = ((known == row) & (known != 0)).sum(axis=1)
+            loose = (known == 0).sum(axis=1)
+            # The most equal tokens, then the most wildcards, then the first.
+            best = int(np.argmax(equal * (self.width + 1) + loose))
+            # All-wildcard shapes equal nothing but take any message.
+            if equal[best] / self.width >= self.similarity:
+                known[best][known[best] != row] = 0
+                self.members[best] += 1
+                self.rows[best] += weight
+                return
+        if made == len(self.shapes):
+            self.shapes = np.concatenate((self.shapes, np.empty_like(self.shapes)))
+        self.shapes[made] = [self.codes.setdefault(w, len(self.codes)) for w in words]
+        self.members.append(0 if stored else 1)
+        self.rows.append(weight)
+        self.fresh.append(not stored)
+
+    def templates(self) -> pa.RecordBatch:
+        spelled = list(self.codes)
+        made = len(self.rows)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([" ".join(spelled[i] for i in shape) for shape in self.shapes[:made].tolist()], pa.string()),
+                pa.array([self.width] * made, pa.int32()),
+                pa.array(self.members, pa.int64()),
+                pa.array(self.rows, pa.int64()),
+                pa.array(self.fresh, pa.bool_()),
+            ],
+            names=["template", "n_tokens", "messages", "rows", "is_new"],
+        )
 
 
-def _leaves(messages: DataFrame, max_children: int, leaf_rows: int, max_depth: int) -> DataFrame:
-    """Give every message a leaf of at most ``leaf_rows`` distinct messages."""
-    keyed = messages.withColumn("tokens", F.split("text", " ")).withColumn(
-        "n_tokens", F.size("tokens")
-    )
-    keyed = keyed.withColumn("leaf", F.col("n_tokens").cast("string"))
-    keyed = landed(_deepen(keyed, 0, max_children), "template-leaves")
-    for depth in range(1, max_depth):
-        sizes = _leaf_sizes(keyed)
-        large = landed(sizes.filter(F.col("_size") > leaf_rows), "template-large-leaves")
-        if large.isEmpty():
-            return keyed
-        marked = keyed.join(large, "leaf", "left")
-        fits = marked.filter("_size IS NULL").drop("_size")
-        deeper = _deepen(marked.filter("_size IS NOT NULL").drop("_size"), depth, max_children)
-        keyed = landed(fits.unionByName(deeper), "template-leaves")
-    # Leaves that no prefix splits any further are cut by hash. Templates that
-    # come out equal are united at the end.
-    sizes = landed(_leaf_sizes(keyed), "template-leaf-sizes")
-    parts = F.ceil(F.col("_size") / F.lit(float(leaf_rows)))
-    salted = F.concat("leaf", F.lit("\x02#"), F.pmod(F.xxhash64("text"), parts).cast("string"))
-    return (
-        keyed.join(sizes, "leaf")
-        .withColumn("leaf", F.when(parts > 1, salted).otherwise(F.col("leaf")))
-        .drop("_size")
-    )
-
+def _merge_leaves(similarity: float):
+    """Merge the messages of each leaf into templates; rows are sorted by leaf, frequent messages first."""
 
-def _merge_leaf(similarity: float):
-    """Merge one leaf's messages into templates, frequent messages first."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stored", "rows", "text"], ascending=[False, False, True])
-        words = np.array([t.split(" ") for t in pdf["text"]], dtype=object)
-        n, width = words.shape
-        codes, vocabulary = pd.factorize(words.ravel())
-        ids = codes.reshape(n, width)
-        star = np.flatnonzero(vocabulary == WILDCARD)
-        star_id = int(star[0]) if len(star) else len(vocabulary)
-        shapes = np.empty((n, width), dtype=np.int64)
-        made, members, rows, fresh = 0, [], [], []
-        for row, weight, stored in zip(ids, pdf["rows"], pdf["stored"]):
-            best = -1
-            if made and not stored:
-                known = shapes[:made]
-                equal = ((known == row) & (known != star_id)).sum(axis=1) / width
-                loose = (known == star_id).sum(axis=1)
-                best = int(np.lexsort((np.arange(made), -loose, -equal))[0])
-                # All-wildcard shapes equal nothing but take any message.
-                if equal[best] < similarity:
-                    best = -1
-            if best < 0:
-                shapes[made] = row
-                made += 1
-                members.append(0 if stored else 1)
-                rows.append(int(weight))
-                fresh.append(not stored)
-            else:
-                shapes[best] = np.where(shapes[best] == row, row, star_id)
-                members[best] += 1
-                rows[best] += int(weight)
-        spelled = np.append(np.asarray(vocabulary, dtype=object), WILDCARD)
-        return pd.DataFrame(
-            {
-                "template": [" ".join(spelled[s]) for s in shapes[:made]],
-                "n_tokens": np.full(made, width, dtype=np.int32),
-                "messages": np.array(members, dtype=np.int64),
-                "rows": np.array(rows, dtype=np.int64),
-                "is_new": np.array(fresh, dtype=bool),
-            }
-        )
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, name = None, None
+        for batch in batches:
+            for own, text, weight, stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.split(" ")
+                if leaf is None or own != name:
+                    if leaf is not None:
+                        yield leaf.templates()
+                    leaf, name = _Leaf(len(words), similarity), own
+                leaf.add(words, weight, stored)
+        if leaf is not None:
+            yield leaf.templates()
 
     return merge
 
@@ -160,29 +145,28 @@ def mine_templates(
     stored: DataFrame | None = None,
     similarity: float = SIMILARITY,
     max_children: int = MAX_CHILDREN,
-    leaf_rows: int = LEAF_ROWS,
-    max_depth: int = MAX_DEPTH,
+    leaf_rows: int | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Mine templates from masked messages; empty messages are skipped.
 
     (template_id, template, n_tokens, messages, rows, is_new). With ``stored``
     templates the leaves start from those, so training continues, and
     ``is_new`` tells which templates are additions. The result depends on the
-    set of messages and their counts only, not on order or partitioning.
+    set of messages and their counts only, not on order or partitioning, and
+    not on the size of a leaf: ``leaf_rows`` and ``max_depth``, which once split
+    large leaves, are taken for older callers and change nothing.
     """
     messages = distinct_messages(df, message).withColumn("stored", F.lit(False))
     if stored is not None:
         seeds = stored.select(F.col("template").alias("text"), "rows", F.lit(True).alias("stored"))
         messages = messages.unionByName(seeds)
     messages = landed(messages, "distinct-messages")
-    leaves = _leaves(messages, max_children, leaf_rows, max_depth)
-    mined = (
-        leaves.select("leaf", "text", "rows", "stored")
-        .groupBy("leaf")
-        .applyInPandas(
-            _merge_leaf(similarity),
-            "template string, n_tokens int, messages long, rows long, is_new boolean",
-        )
+    leaves = _leaves(messages, max_children).select("leaf", "text", "rows", "stored")
+    # One task sees a whole leaf in order, a batch of its messages at a time.
+    ordered = leaves.repartition("leaf").sortWithinPartitions("leaf", F.desc("stored"), F.desc("rows"), "text")
+    mined = ordered.mapInArrow(
+        _merge_leaves(similarity), "template string, n_tokens int, messages long, rows long, is_new boolean"
     )
     united = mined.groupBy("template", "n_tokens").agg(
         F.sum("messages").alias("messages"),

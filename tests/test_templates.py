@@ -77,3 +77,14 @@ def test_tokens(spark):
     assert added == 1 and grown.count() == 2
     words = tk.tokenize(spark.createDataFrame([("<IP>  A b\tc",)], "text string"), limit=3).first().words
     assert words == ["<IP>", "A", "b"]
+
+
+def test_leaf_size_and_copies_of_the_corpus_do_not_alter_templates(spark):
+    texts = [f"same start {a} {b} {c} end" for a in "abcde" for b in "ghi" for c in "klmn"]
+    df = messages(spark, *texts)
+    whole = {tuple(r) for r in tp.mine_templates(df, leaf_rows=20_000).collect()}
+    assert {r[1] for r in whole} == {"same start <*> <*> <*> end"}
+    for settings in ({"leaf_rows": 20}, {"leaf_rows": 1, "max_depth": 1}, {"leaf_rows": 7, "max_depth": 3}):
+        assert {tuple(r) for r in tp.mine_templates(df, **settings).collect()} == whole
+    tenfold = {r.template for r in tp.mine_templates(messages(spark, *texts * 10), leaf_rows=20).collect()}
+    assert tenfold == {r[1] for r in whole}
