@@ -18,25 +18,35 @@ from logrung.session import landed
 
 ROWS_PER_BLOCK = 16_384
 QUERIES_PER_GROUP = 256
-#: Quantised components lie within this; scores of up to 128 of them fit 64 bits.
+#: Bound of quantised components that are clamped; scores of up to 128 of them fit 64 bits.
 LARGEST = 1 << 28
+#: Bound of exact ones: the span of a block's column fits a long.
+EXACT = 1 << 62
 
 _INDEX = "block int, dims int, lows binary, widths binary, ids binary, slices binary"
 
 
-def quantised(vector: Column, scale: float) -> Column:
+def quantised(vector: Column, scale: float, exact: bool = False) -> Column:
     """floor(scale * x) of each component as long, or null if the vector or a component is null or not finite.
 
-    Values beyond 2^28 are clamped to it, so that every score fits a long.
+    Values beyond 2^28 are clamped to it; with ``exact`` they are kept, and
+    one of 2^62 or more is an error.
     """
     x = vector.cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    bound = float(LARGEST)
-    # Clamped before floor, which would overflow on very large doubles.
-    steps = F.transform(
-        x,
-        lambda v: F.floor(F.least(F.greatest(v * F.lit(float(scale)), F.lit(-bound)), F.lit(bound))).cast("long"),
-    )
+    too_large = F.raise_error(F.lit("a scaled component does not fit the index")).cast("long")
+
+    def step(v: Column) -> Column:
+        scaled, bound = v * F.lit(float(scale)), float(LARGEST)
+        if not exact:
+            # Clamped before floor, which would overflow on very large doubles.
+            return F.floor(F.least(F.greatest(scaled, F.lit(-bound)), F.lit(bound))).cast("long")
+        # Null and non-finite components void the whole vector below and are no error.
+        off = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+        fits = F.abs(scaled) < F.lit(float(EXACT))
+        return F.when(off, F.lit(None).cast("long")).when(fits, F.floor(scaled).cast("long")).otherwise(too_large)
+
+    steps = F.transform(x, step)
     return F.when(vector.isNotNull() & finite, steps)
 
 
@@ -161,12 +171,16 @@ class SlicedBlock:
             np.flatnonzero(np.unpackbits(tied.view(np.uint8), bitorder="little"))[: k - n_taken],
         ]
         rows = np.concatenate(places)
-        scores = np.full(len(rows), base, np.int64)
+        # Python integers: a base or a partial sum may be wider than the score.
+        scores = [base] * len(rows)
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
         for weight, s in enumerate(slices):
             if s is not None:
-                scores += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << weight
-        return self.ids[rows], scores
+                ones = ((s[word] >> bit) & np.uint64(1)).tolist()
+                scores = [x + (one << weight) for x, one in zip(scores, ones, strict=True)]
+        if any(not -(1 << 63) <= x < 1 << 63 for x in scores):
+            raise OverflowError(f"a score of query {query_id} does not fit a long")
+        return self.ids[rows], np.array(scores, np.int64)
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -246,7 +260,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, per_group: int = QUERIES
     )
 
 
-def search_table(vectors: DataFrame, is_query: Column, scale: float, k: int) -> DataFrame:
+def search_table(vectors: DataFrame, is_query: Column, scale: float, k: int, exact: bool = False) -> DataFrame:
     """The k best rows of a table (vec_id, embedding) for each of its rows that ``is_query`` marks.
 
     Null ids and null vectors, or vectors with null or non-finite components,
@@ -257,7 +271,7 @@ def search_table(vectors: DataFrame, is_query: Column, scale: float, k: int) ->
     """
     usable = landed(
         vectors.select(
-            F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("q")
+            F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale, exact).alias("q")
         ).where("vec_id is not null and q is not null"),
         "quantised",
     )

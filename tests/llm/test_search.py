@@ -123,3 +123,22 @@ def test_equal_keys_are_told_apart_by_the_string():
     found, blocked = shard.find(np.array([5, 5, 5, 9, 9, 1, 11], np.uint64), pa.array(["b/", "c/", "z/", "d/", "e/", "a/", "a/"]))
     assert found.tolist() == [True, True, False, True, False, False, False]
     assert blocked.tolist() == [True, False, False, True, False, False, False]
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    rng = np.random.default_rng(8)
+    values = np.floor(rng.uniform(-1, 1, (60, 3)) * 2.0**22)
+    values[:5] = [[2.0**36, 1, 0], [-(2.0**36), 0, 1], [1, 1, 1], [2.0**21, -(2.0**21), 3], [0, 0, 0]]
+    rows = [(i, v.tolist()) for i, v in enumerate(values)]
+    got = search_table(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(2, 30), 1.0, 4, exact=True)
+    q = [[int(x) for x in v] for v in values]
+    found = {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()}
+    want = set()
+    for i in (2, 30):
+        scored = sorted((-sum(a * b for a, b in zip(q[i], v, strict=True)), j) for j, v in enumerate(q) if j != i)
+        want |= {(i, n, j, -s) for n, (s, j) in enumerate(scored[:4], 1)}
+    assert found == want
+    for big in ([1e300, 1.0, 1.0], [2.0**61, 2.0**61, 0.0]):
+        two = spark.createDataFrame([(0, big), (1, big), (2, [None, 1.0, 1e300])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="does not fit"):
+            search_table(two, F.col("vec_id") == 0, 1.0, 1, exact=True).collect()
