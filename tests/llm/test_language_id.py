@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logrung.llm.language_id import KneserNey, _suffix, accepted_rows, char_codes, four_grams, language_table
+from logrung.llm.language_id import KneserNey, _load, _suffix, accepted_rows, char_codes, four_grams, language_table, train
 from logrung.llm.queries import op9_language_id
 
 
@@ -119,3 +119,10 @@ def test_a_rare_language_does_not_take_in_foreign_text(spark, n_rare):
     assert [found[90_000 + i].accepted for i in range(3)] == [False] * 3
     assert found[95_000].lang_pred == "xx" and found[95_000].accepted
     assert sum(r.accepted for r in found.values()) / len(found) > 0.99
+
+
+def test_every_language_has_a_limit(spark):
+    texts = [(i, f"some words of a small table number {'abcdefghij'[i % 10] * 3}", "en") for i in range(8)] + [(9, "ein Text", "de")]
+    path = train(spark.createDataFrame(texts, "doc_id long, text string, lang string"), F.lit(True))
+    langs, models = _load(path)
+    assert langs == ["de", "en"] and all(np.isfinite(m.limit) for m in models)
