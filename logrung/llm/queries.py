@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logrung.llm import checks
 from logrung.llm.bit_sliced import search_table
 from logrung.llm.decision_list import quality_table
+from logrung.llm.fill_in_middle import fill_in_middle, restored
 from logrung.llm.html_template import extract_main_text
 from logrung.llm.language_id import language_table
 from logrung.llm.mixing import mixed_sizes
@@ -89,3 +90,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack(token_pieces(table(spark, sf_dir, "documents"), path, spaces_kept=False, end_id=0))
+
+
+@query("op11_fill_in_middle", checks.FILL_IN_MIDDLE)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and reordered, and rebuilt from its output."""
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
