@@ -11,7 +11,9 @@ from logrung.llm.bit_sliced import search_table
 from logrung.llm.decision_list import quality_table
 from logrung.llm.fill_in_middle import fill_in_middle, restored
 from logrung.llm.html_template import extract_main_text
+from logrung.llm.hyperplane_tree import hard_negatives
 from logrung.llm.language_id import language_table
+from logrung.llm.license_scan import scan_licences
 from logrung.llm.mixing import mixed_sizes
 from logrung.llm.parity_join import jaccard_components
 from logrung.llm.packing import pack, token_pieces
@@ -101,3 +103,21 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+@query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named or tagged in every document."""
+    found = scan_licences(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "obligation"
+    )
+
+
+@query("op13_hard_negatives", checks.HARD_NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its five best positives."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label")
+    )
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, 256.0)
