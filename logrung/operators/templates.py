@@ -2,26 +2,21 @@
 
 After He et al., "Drain: An Online Log Parsing Approach with Fixed Depth Tree"
 (ICWS 2017): messages are split by token count and leading tokens, then merged
-by token similarity within such a leaf. Mining runs on distinct messages with
-counts, so a message that makes up a third of the log is one row. A leaf is
-merged as a whole whatever its size: its messages stream past the templates
-found so far, which are all that a task holds.
+by token similarity within such a leaf (``template_mining``). Mining runs on
+distinct messages with counts, so a message that makes up a third of the log is
+one row. Matching files each template under one of its tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrung.functions.text import strip
+from logrung.operators.template_mining import WILDCARD, Bounds, grown_templates
 from logrung.session import landed
 
-# Wildcard, miss marker and the published defaults of the method.
-WILDCARD = "<*>"
+# Miss marker and the published defaults of the method.
 UNMATCHED = "<UNKNOWN_FORMAT>"
 SIMILARITY = 0.4
 MAX_CHILDREN = 100
@@ -44,99 +39,33 @@ def distinct_messages(df: DataFrame, message: str = "masked") -> DataFrame:
     )
 
 
-def _leaves(messages: DataFrame, max_children: int) -> DataFrame:
-    """Give every message a leaf by its token count and first token.
-
-    The most frequent first tokens of a token count get a branch each; tokens
-    with digits and all further ones share the wildcard branch.
-    """
+def _branch_columns(rows: DataFrame) -> DataFrame:
+    """Adds the token count and the first token, a wildcard if it has a digit."""
     tokens = F.split("text", " ")
-    first = tokens[0]
-    own = F.when(first.rlike(r"\d"), F.lit(WILDCARD)).otherwise(first)
-    rows = messages.withColumn("_width", F.size(tokens)).withColumn("_token", own)
+    own = F.when(tokens[0].rlike(r"\d"), F.lit(WILDCARD)).otherwise(tokens[0])
+    return rows.withColumn("_width", F.size(tokens)).withColumn("_token", own)
+
+
+def _branches(messages: DataFrame, max_children: int) -> DataFrame:
+    """(_width, _token): first tokens that have a branch of their own, the heaviest of each token count."""
     w = Window.partitionBy("_width").orderBy(F.col("_weight").desc(), "_token")
     branches = (
-        rows.groupBy("_width", "_token")
+        _branch_columns(messages)
+        .groupBy("_width", "_token")
         .agg(F.sum("rows").alias("_weight"))
         .withColumn("_place", F.row_number().over(w))
         .filter(F.col("_place") < max_children)
         .select("_width", "_token", F.lit(True).alias("_kept"))
     )
-    branches = landed(branches, "template-branches")
-    branch = F.when(F.col("_kept"), F.col("_token")).otherwise(F.lit(WILDCARD))
-    # "\x02" begins a branch name; it cannot occur inside a token.
-    return (
-        rows.join(branches, ["_width", "_token"], "left")
-        .withColumn("leaf", F.concat(F.col("_width").cast("string"), F.lit("\x02"), branch))
-        .drop("_width", "_token", "_kept")
-    )
-
-
-class _Leaf:
-    """Templates of one leaf, grown message by message; words are numbered as templates need them."""
-
-    def __init__(self, width: int, similarity: float):
-        self.width, self.similarity = width, similarity
-        self.codes: dict[str, int] = {WILDCARD: 0}
-        self.shapes = np.empty((16, width), dtype=np.int64)
-        self.members: list[int] = []
-        self.rows: list[int] = []
-        self.fresh: list[bool] = []
-
-    def add(self, words: list[str], weight: int, stored: bool) -> None:
-        made = len(self.rows)
-        if made and not stored:
-            row = np.array([self.codes.get(w, -1) for w in words], dtype=np.int64)
-            known = self.shapes[:made]
-            equal = ((known == row) & (known != 0)).sum(axis=1)
-            loose = (known == 0).sum(axis=1)
-            # The most equal tokens, then the most wildcards, then the first.
-            best = int(np.argmax(equal * (self.width + 1) + loose))
-            # All-wildcard shapes equal nothing but take any message.
-            if equal[best] / self.width >= self.similarity:
-                known[best][known[best] != row] = 0
-                self.members[best] += 1
-                self.rows[best] += weight
-                return
-        if made == len(self.shapes):
-            self.shapes = np.concatenate((self.shapes, np.empty_like(self.shapes)))
-        self.shapes[made] = [self.codes.setdefault(w, len(self.codes)) for w in words]
-        self.members.append(0 if stored else 1)
-        self.rows.append(weight)
-        self.fresh.append(not stored)
-
-    def templates(self) -> pa.RecordBatch:
-        spelled = list(self.codes)
-        made = len(self.rows)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([" ".join(spelled[i] for i in shape) for shape in self.shapes[:made].tolist()], pa.string()),
-                pa.array([self.width] * made, pa.int32()),
-                pa.array(self.members, pa.int64()),
-                pa.array(self.rows, pa.int64()),
-                pa.array(self.fresh, pa.bool_()),
-            ],
-            names=["template", "n_tokens", "messages", "rows", "is_new"],
-        )
-
-
-def _merge_leaves(similarity: float):
-    """Merge the messages of each leaf into templates; rows are sorted by leaf, frequent messages first."""
+    return landed(branches, "template-branches")
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, name = None, None
-        for batch in batches:
-            for own, text, weight, stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split(" ")
-                if leaf is None or own != name:
-                    if leaf is not None:
-                        yield leaf.templates()
-                    leaf, name = _Leaf(len(words), similarity), own
-                leaf.add(words, weight, stored)
-        if leaf is not None:
-            yield leaf.templates()
 
-    return merge
+def _in_leaves(messages: DataFrame, branches: DataFrame) -> DataFrame:
+    """(leaf, text, rows): the leaf is the token count and the branch; all other first tokens share the wildcard's."""
+    branch = F.when(F.col("_kept"), F.col("_token")).otherwise(F.lit(WILDCARD))
+    # "\x02" begins a branch name; it cannot occur inside a token.
+    leaf = F.concat(F.col("_width").cast("string"), F.lit("\x02"), branch)
+    return _branch_columns(messages).join(branches, ["_width", "_token"], "left").select(leaf.alias("leaf"), "text", "rows")
 
 
 def mine_templates(
@@ -145,93 +74,100 @@ def mine_templates(
     stored: DataFrame | None = None,
     similarity: float = SIMILARITY,
     max_children: int = MAX_CHILDREN,
-    leaf_rows: int | None = None,
-    max_depth: int | None = None,
+    bounds: Bounds | None = None,
 ) -> DataFrame:
     """Mine templates from masked messages; empty messages are skipped.
 
-    (template_id, template, n_tokens, messages, rows, is_new). With ``stored``
-    templates the leaves start from those, so training continues, and
-    ``is_new`` tells which templates are additions. The result depends on the
-    set of messages and their counts only, not on order or partitioning, and
-    not on the size of a leaf: ``leaf_rows`` and ``max_depth``, which once split
-    large leaves, are taken for older callers and change nothing.
+    (template_id, template, n_tokens, messages, rows, is_new): distinct
+    messages and rows that each template took. The result depends on the set
+    of messages and their counts only, not on order, partitions or ``bounds``,
+    the sizes of tasks.
+
+    With ``stored`` templates (template, rows) training continues. A message
+    that a stored template takes as it stands is counted there. One that is
+    similar to it in its leaf makes it more general: the stored template keeps
+    its counts under the new text. Both have ``is_new`` false; only what is
+    like no stored template is mined anew. Rows of stored templates are united
+    with the new ones; ``messages`` counts those of this run.
     """
-    messages = distinct_messages(df, message).withColumn("stored", F.lit(False))
+    messages = landed(distinct_messages(df, message), "distinct-messages")
+    seeds = None
     if stored is not None:
-        seeds = stored.select(F.col("template").alias("text"), "rows", F.lit(True).alias("stored"))
-        messages = messages.unionByName(seeds)
-    messages = landed(messages, "distinct-messages")
-    leaves = _leaves(messages, max_children).select("leaf", "text", "rows", "stored")
-    # One task sees a whole leaf in order, a batch of its messages at a time.
-    ordered = leaves.repartition("leaf").sortWithinPartitions("leaf", F.desc("stored"), F.desc("rows"), "text")
-    mined = ordered.mapInArrow(
-        _merge_leaves(similarity), "template string, n_tokens int, messages long, rows long, is_new boolean"
+        seeds = landed(
+            stored.groupBy(F.col("template").alias("text")).agg(F.sum("rows").alias("rows")), "stored-templates"
+        )
+    branches = _branches(messages if seeds is None else messages.unionByName(seeds), max_children)
+    if seeds is None:
+        grown = grown_templates(_in_leaves(messages, branches), None, similarity, bounds)
+        every = grown.select("template", "messages", "rows", "is_new")
+    else:
+        known = seeds.select(F.xxhash64("text").alias("template_id"), F.col("text").alias("template"))
+        taken = landed(match_messages(messages, known).select("text", "template"), "taken-messages")
+        misses = messages.join(taken, "text", "left_anti")
+        grown = landed(
+            grown_templates(_in_leaves(misses, branches), _in_leaves(seeds, branches), similarity, bounds), "grown"
+        )
+        old = seeds.select(F.col("text").alias("was"), F.lit(0).cast("long").alias("messages"), "rows").unionByName(
+            messages.join(taken, "text").groupBy(F.col("template").alias("was")).agg(
+                F.count("*").alias("messages"), F.sum("rows").alias("rows")
+            )
+        )
+        changed = grown.where("was IS NOT NULL").select("was", "template")
+        every = grown.select("template", "messages", "rows", "is_new").unionByName(
+            old.join(changed, "was", "left").select(
+                F.coalesce("template", "was").alias("template"), "messages", "rows", F.lit(False).alias("is_new")
+            )
+        )
+    united = every.groupBy("template").agg(
+        F.sum("messages").alias("messages"), F.sum("rows").alias("rows"), F.min("is_new").alias("is_new")
     )
-    united = mined.groupBy("template", "n_tokens").agg(
-        F.sum("messages").alias("messages"),
-        F.sum("rows").alias("rows"),
-        F.min("is_new").alias("is_new"),
+    n_tokens = F.size(F.split("template", " "))
+    return united.select(
+        F.xxhash64("template").alias("template_id"), "template", n_tokens.alias("n_tokens"), "messages", "rows", "is_new"
     )
-    return united.withColumn("template_id", F.xxhash64("template")).select(TEMPLATE_COLUMNS)
 
 
-def _shape(words: Column) -> Column:
-    """Wildcard positions of a template, e.g. '0,3'."""
-    spots = F.filter(
-        F.transform(words, lambda w, i: F.when(w == WILDCARD, i)), lambda i: i.isNotNull()
-    )
-    return F.transform(spots, lambda i: i.cast("string"))
+def _keys(words: Column, fixed_only: bool) -> Column:
+    """Hashes of (width, place, token); wildcards have none in a template."""
+    width = F.size(words)
+    keys = F.transform(words, lambda w, i: F.when(w != WILDCARD, F.xxhash64(width, i, w)) if fixed_only else F.xxhash64(width, i, w))
+    return F.filter(keys, lambda k: k.isNotNull())
 
 
 def match_messages(messages: DataFrame, templates: DataFrame) -> DataFrame:
     """(text, template_id, template) for each distinct message that matches.
 
-    A template takes a message when all its fixed tokens agree. Instead of
-    comparing pairs, each message is rewritten once per wildcard shape in use
-    for its length and looked up by equality. The fewest wildcards win, then
-    the smaller id.
+    A template takes a message when all its fixed tokens agree. Each template
+    is filed under the one of its (place, token) keys that fewest messages
+    have, and messages look their keys up by equality, so there are at most as
+    many probes as tokens, one more for templates without fixed tokens, and as
+    few candidates as one key for each template allows. Candidates are
+    verified token by token. The fewest wildcards win, then the smaller id.
     """
-    known = templates.select("template_id", "template").withColumn(
-        "_words", F.split("template", " ")
-    )
-    known = known.select(
-        "template_id",
-        "template",
-        F.size("_words").alias("_width"),
-        F.array_join(_shape(F.col("_words")), ",").alias("_stars"),
-    )
-    # One row per token count: the shapes in use for it.
-    shapes = landed(
-        known.groupBy("_width").agg(F.collect_set("_stars").alias("_shapes")), "template-shapes"
-    )
-    known = landed(
-        known.select("template_id", "template", F.col("_stars").alias("_known_stars")), "template-known"
-    )
-    words = F.col("_words")
-    tried = (
-        messages.select("text")
-        .withColumn("_words", F.split("text", " "))
-        .withColumn("_width", F.size("_words"))
-        .join(shapes, "_width")
-        .select("text", "_words", F.explode("_shapes").alias("_stars"))
-        .withColumn("_spots", F.split("_stars", ","))
-    )
-    written = F.array_join(
-        F.transform(
-            words,
-            lambda w, i: F.when(
-                F.array_contains(F.col("_spots"), i.cast("string")), F.lit(WILDCARD)
-            ).otherwise(w),
-        ),
-        " ",
-    )
-    hits = tried.withColumn("template", written).join(known, "template")
-    n_stars = F.when(F.col("_known_stars") == "", 0).otherwise(F.size(F.split("_known_stars", ",")))
-    best = hits.groupBy("text").agg(
-        F.min_by(F.struct("template_id", "template"), F.struct(n_stars, F.col("template_id"))).alias("_best")
-    )
-    return best.select("text", "_best.template_id", "_best.template")
+    words = F.split("template", " ")
+    known = landed(templates.select("template_id", "template").withColumn("words", words), "template-known")
+    of_width = F.array(F.xxhash64(F.size("words"), F.lit(-1), F.lit("")))
+    fixed = _keys(F.col("words"), True)
+    keys = known.select("template_id", F.explode(F.when(F.size(fixed) > 0, fixed).otherwise(of_width)).alias("key"))
+    texts = landed(messages.select(F.monotonically_increasing_id().alias("message"), "text"), "message-texts")
+    split = texts.withColumn("words", F.split("text", " "))
+    probes = split.select("message", F.explode(F.concat(_keys(F.col("words"), False), of_width)).alias("key"))
+    met = probes.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("times"))
+    # A template with a key that no message has takes none.
+    rarest = F.min_by("key", F.struct(F.coalesce("times", F.lit(0)), "key")).alias("key")
+    anchors = landed(keys.join(met, "key", "left").groupBy("template_id").agg(rarest), "template-anchors")
+    fits = F.forall(F.zip_with("words", "known_words", lambda w, t: (t == WILDCARD) | t.eqNullSafe(w)), lambda x: x)
+    stars = F.size(F.filter("known_words", lambda t: t == WILDCARD))
+    hits = (
+        probes.join(anchors, "key")
+        .select("message", "template_id")
+        .join(known.withColumnRenamed("words", "known_words"), "template_id")
+        .join(split, "message")
+        .where((F.size("words") == F.size("known_words")) & fits)
+        .select("message", "text", F.struct(stars.alias("stars"), "template_id", "template").alias("hit"))
+    )
+    best = hits.groupBy("message").agg(F.first("text").alias("text"), F.min("hit").alias("hit"))
+    return best.select("text", "hit.template_id", "hit.template")
 
 
 def match_templates(df: DataFrame, templates: DataFrame, message: str = "masked") -> DataFrame:
