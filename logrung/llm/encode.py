@@ -4,14 +4,40 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A cut before a single space between two non-space characters never falls inside a
 #: token of a byte-level tokenizer: no pattern of its splitter looks across it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACE = r"\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts whose white space is more than single spaces and line feeds apart from each other.
+_ODD_SPACE = rf"  | \n|\n |\A | \z|[{_OTHER_SPACE}]"
+#: Pieces whose tokens hold just their bytes: one space before them and none at their ends ...
+_KEPT_BYTES = rf"(?s)\A[^ \n{_OTHER_SPACE}](?:.*[^ \n{_OTHER_SPACE}])?\z"
+#: ... or, without white space, of characters that no normal form and no lower case changes in length.
+_PLAIN_BYTES = r"\A[!-~\x{a1}-\x{12f}\x{131}-\x{17f}]+\z"
+#: Letters and then marks: every splitter cuts between the two, and keeps each whole.
+_LETTERS = r"\A(?P<stem>\p{L}+)(?P<tail>[!-&(-/:-@\[-`{-~]*)\z"
 _JOINED = 256
+#: Bytes of text that a task encodes at a time, a longer text alone.
+TEXT_AT_ONCE = 1 << 21
+_END_OF_WORD = "</w>"
+
+
+def _spelling() -> dict[int, int]:
+    """Byte-level spelling: printable bytes of Latin-1 stand for themselves, others for the code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_SPELLED = _spelling()
+#: Words are spelled many at a time, one on a line.
+_SPELLED_LINES = _SPELLED | {0x0A: 0x0A}
 
 
 class WordEncoder:
@@ -19,9 +45,10 @@ class WordEncoder:
 
     A text is cut where no token can cross, each distinct piece is encoded
     once by the library, and the ids of a text are the ids of its pieces in
-    order. ``spaces_kept`` says whether the tokenizer gives a space to the
-    word behind it (byte level) or drops white space. The cache starts anew
-    when it holds ``cache_words`` pieces, so its memory is bounded.
+    order. Cutting and finding the distinct pieces are Arrow kernels.
+    ``spaces_kept`` says whether the tokenizer gives a space to the word behind
+    it (byte level) or drops white space. The cache starts anew when it holds
+    ``cache_words`` pieces, so its memory is bounded.
     """
 
     def __init__(self, path: str, spaces_kept: bool, cache_words: int = 1_000_000):
@@ -31,11 +58,25 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._spaces_kept = spaces_kept
         self._limit = cache_words
-        special = [(i, t) for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special]
+        added = self._tokenizer.get_added_tokens_decoder()
+        special = [(i, t) for i, t in added.items() if t.special]
         self._mark = min(special, key=lambda x: x[0])[0] if special else None
         self._marker = self._tokenizer.id_to_token(self._mark) if special else None
-        self._added = [t.content for _, t in self._tokenizer.get_added_tokens_decoder().items()]
+        self._added = [t.content for t in added.values()]
+        # A byte-level vocabulary spells each byte as one character.
+        self._bytes = np.zeros(self.n_ids, np.int64)
+        for token, i in self._tokenizer.get_vocab(with_added_tokens=False).items():
+            self._bytes[i] = len(token.removesuffix(_END_OF_WORD))
+        self._model = self._tokenizer.model
+        words = ["word", "Straße", "ÉTÉ", "naïveté", "x"]
         self._reset()
+        # Whether words of letters can go to the library's model without its splitter.
+        try:
+            own = [self._tokens(w) for w in self._spelled(words)]
+        except Exception:  # noqa: BLE001 - a model of another kind knows no such words
+            own = []
+        whole = self._tokenizer.encode_batch_fast([self._as_text(w) for w in words], add_special_tokens=False)
+        self._by_letters = own == [e.ids for e in whole]
 
     @property
     def n_ids(self) -> int:
@@ -44,61 +85,115 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self._codes: dict[str, int] = {}
+        self._n_codes = 0
         self._ids = np.zeros(1 << 16, np.uint32)
         self._n_ids = 0
         self._start = np.zeros(1 << 14, np.int64)
         self._length = np.zeros(1 << 14, np.int64)
 
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces of a text; the first one of a space-keeping tokenizer is marked by a leading space."""
-        if not self._spaces_kept:
-            return text.split(" ")
-        plain = not (
-            "  " in text
-            or " \n" in text
-            or "\n " in text
-            or text[:1] == " "
-            or text[-1:] == " "
-            or _OTHER_SPACE.search(text)
-        )
-        pieces = text.split(" ") if plain else _CUT.split(text)
-        pieces[0] = " " + pieces[0]
-        return pieces
-
     def _as_text(self, piece: str) -> str:
+        """A piece as the library must see it; the first one of a space-keeping tokenizer is marked by a space."""
         if not self._spaces_kept:
             return piece
         return piece[1:] if piece[:1] == " " else " " + piece
 
+    def _spelled(self, words: list[str]) -> list[str]:
+        """Words of letters as the model sees them behind the library's splitter."""
+        lines = "\n".join(words)
+        lines = (lines if self._spaces_kept else lines.lower()).encode().decode("latin-1").translate(_SPELLED_LINES)
+        lead = chr(_SPELLED[0x20]) if self._spaces_kept else ""
+        return [lead + w for w in lines.split("\n")]
+
+    def _tokens(self, spelled: str) -> list[int]:
+        return [t.id for t in self._model.tokenize(spelled)]
+
     def _encode_new(self, pieces: list[str]) -> None:
-        """Encode unseen pieces, many to a call, parted by a special token of the library."""
-        texts = [self._as_text(p) for p in pieces]
-        alone = [self._marker is None or any(a in t for a in self._added) for t in texts]
-        packed = [i for i, a in enumerate(alone) if not a]
-        groups = [packed[i : i + _JOINED] for i in range(0, len(packed), _JOINED)]
-        for members, encoded in zip(
-            groups,
-            self._tokenizer.encode_batch_fast(
-                [self._marker.join(texts[i] for i in g) for g in groups], add_special_tokens=False
-            ),
-            strict=True,
-        ):
-            ids = np.array(encoded.ids, np.uint32)
+        """Encode unseen pieces, many to a call."""
+        known = pa.array(pieces, pa.large_string())
+        alone = np.full(len(pieces), self._marker is None)
+        for a in self._added:
+            alone |= pc.match_substring(known, a).to_numpy(zero_copy_only=False)
+        pattern = _KEPT_BYTES if self._spaces_kept else _PLAIN_BYTES
+        plain = ~alone & pc.match_substring_regex(known, pattern).to_numpy(zero_copy_only=False)
+        if self._by_letters:
+            found = pc.extract_regex(known, _LETTERS)
+            letters = plain & found.is_valid().to_numpy(zero_copy_only=False)
+            self._encode_letters(known, found, letters)
+            plain &= ~letters
+        else:
+            letters = np.zeros(len(pieces), bool)
+        sizes = pc.binary_length(known).to_numpy() + (1 if self._spaces_kept else 0)
+        self._encode_by_bytes([pieces[i] for i in np.flatnonzero(plain)], sizes[plain])
+        self._encode_by_marks([pieces[i] for i in np.flatnonzero(~alone & ~plain & ~letters)])
+        single = [pieces[i] for i in np.flatnonzero(alone)]
+        for piece, encoded in zip(single, self._ids_of([self._as_text(p) for p in single]), strict=True):
+            self._store([piece], encoded, np.array([0]), np.array([len(encoded)]))
+
+    def _encode_letters(self, known: pa.Array, found: pa.Array, letters: np.ndarray) -> None:
+        """Pieces of letters and marks: the letters by the model, the marks once for all pieces that end in them."""
+        chosen = pa.array(letters)
+        names, stems, tails = (
+            x.filter(chosen).to_numpy(zero_copy_only=False).tolist() for x in (known, found.field("stem"), found.field("tail"))
+        )
+        codes = self._codes
+        new = list(dict.fromkeys(w for w in stems if w not in codes))
+        if new:
+            ids = [self._tokens(w) for w in self._spelled(new)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+            self._store(new, flat, np.cumsum(lengths) - lengths, lengths)
+        # What follows a word has no space before it: for a space-keeping tokenizer the form of a first piece.
+        lead = " " if self._spaces_kept else ""
+        ends = {t: lead + t for t in set(tails) if t}
+        missing = [t for t in ends.values() if t not in codes]
+        if missing:
+            self._encode_by_marks(missing)
+        both = [(n, codes[w], codes[ends[t]]) for n, w, t in zip(names, stems, tails, strict=True) if t]
+        if both:
+            which = np.array([b[1:] for b in both], np.int64)
+            lengths = self._length[which].sum(axis=1)
+            self._store([b[0] for b in both], self._gather(which.ravel()), np.cumsum(lengths) - lengths, lengths)
+
+    def _gather(self, which: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after the other."""
+        lengths = self._length[which]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._ids[np.repeat(self._start[which] - (ends - lengths), lengths) + np.arange(total)]
+
+    def _ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_by_bytes(self, pieces: list[str], sizes: np.ndarray) -> None:
+        """Join pieces by single spaces and tell their tokens apart by the bytes that they hold."""
+        if not pieces:
+            return
+        lead = " " if self._spaces_kept else ""
+        groups = [lead + " ".join(pieces[i : i + _JOINED]) for i in range(0, len(pieces), _JOINED)]
+        ids = np.concatenate(self._ids_of(groups))
+        held = self._bytes[ids]
+        ends = np.cumsum(held)
+        last = np.searchsorted(ends, np.cumsum(sizes))
+        if len(ids) == 0 or held.min() == 0 or last[-1] != len(ids) - 1 or (ends[last] != np.cumsum(sizes)).any():
+            # Tokens of this vocabulary do not hold just the bytes of a piece.
+            self._encode_by_marks(pieces)
+            return
+        begins = np.concatenate(([0], last[:-1] + 1))
+        self._store(pieces, ids, begins, last + 1 - begins)
+
+    def _encode_by_marks(self, pieces: list[str]) -> None:
+        """Join pieces by a special token of the library."""
+        groups = [pieces[i : i + _JOINED] for i in range(0, len(pieces), _JOINED)]
+        for group, ids in zip(groups, self._ids_of([self._marker.join(map(self._as_text, g)) for g in groups]), strict=True):
             marks = np.flatnonzero(ids == self._mark)
             begins = np.concatenate(([0], marks + 1))
             ends = np.concatenate((marks, [len(ids)]))
-            self._store([pieces[i] for i in members], ids, begins, ends - begins)
-        single = [i for i, a in enumerate(alone) if a]
-        for i, encoded in zip(
-            single,
-            self._tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False),
-            strict=True,
-        ):
-            ids = np.array(encoded.ids, np.uint32)
-            self._store([pieces[i]], ids, np.array([0]), np.array([len(ids)]))
+            self._store(group, ids, begins, ends - begins)
 
     def _store(self, pieces: list[str], ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self._codes)
+        # A piece may be stored twice, so numbers do not follow from the size of the cache.
+        first = self._n_codes
+        self._n_codes += len(pieces)
         while self._n_ids + len(ids) > len(self._ids):
             self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
         while first + len(pieces) > len(self._start):
@@ -110,29 +205,68 @@ class WordEncoder:
         self._n_ids += len(ids)
         self._codes.update(zip(pieces, range(first, first + len(pieces)), strict=True))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids one text after the other, number of ids of each text)."""
-        if len(self._codes) > self._limit:
-            self._reset()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = self._pieces(text)
-                counts[i] = len(own)
-                pieces += own
+    def _codes_of(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of distinct pieces in the cache."""
         codes = self._codes
-        new = [p for p in dict.fromkeys(pieces) if p not in codes]
+        new = [p for p in pieces if p not in codes]
         if new:
             self._encode_new(new)
-        which = np.fromiter(map(codes.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self._length[which]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self._start[which] - (ends - lengths), lengths) + np.arange(total)
-        bounds = np.concatenate(([0], ends))
+        return np.fromiter(map(codes.__getitem__, pieces), np.int64, len(pieces))
+
+    def _cut_plainly(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces as numbers, pieces of each text) of texts that are cut at every space."""
+        lists = pc.split_pattern(texts, " ")
+        words = lists.flatten().dictionary_encode()
+        which = words.indices.to_numpy()
+        offsets = lists.offsets.to_numpy()
+        counts = np.diff(offsets)
+        spelled = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = self._codes_of(spelled)[which]
+        if self._spaces_kept:
+            begins = offsets[:-1] - offsets[0]
+            firsts, back = np.unique(which[begins], return_inverse=True)
+            codes[begins] = self._codes_of([" " + spelled[i] for i in firsts.tolist()])[back]
+        return codes, counts
+
+    def _cut_oddly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts of a space-keeping tokenizer with other white space."""
+        pieces: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = _CUT.split(text)
+            own[0] = " " + own[0]
+            counts[i] = len(own)
+            pieces += own
+        distinct = dict.fromkeys(pieces)
+        places = dict(zip(distinct, self._codes_of(list(distinct)).tolist(), strict=True))
+        return np.fromiter(map(places.__getitem__, pieces), np.int64, len(pieces)), counts
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one text after the other, number of ids of each text); null texts have none."""
+        if len(self._codes) > self._limit:
+            self._reset()
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        full = pc.binary_length(texts).to_numpy() > 0
+        odd = np.zeros(len(texts), bool)
+        if self._spaces_kept:
+            odd = full & pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        plain = full & ~odd
+        counts = np.zeros(len(texts), np.int64)
+        cut = [(plain, np.zeros(0, np.int64)), (odd, np.zeros(0, np.int64))]
+        if plain.any():
+            codes, counts[plain] = self._cut_plainly(texts.filter(pa.array(plain)))
+            cut[0] = (plain, codes)
+        if odd.any():
+            codes, counts[odd] = self._cut_oddly(texts.filter(pa.array(odd)).to_pylist())
+            cut[1] = (odd, codes)
+        which = np.empty(int(counts.sum()), np.int64)
+        for mine, codes in cut:
+            which[np.repeat(mine, counts)] = codes
+        bounds = np.concatenate(([0], np.cumsum(self._length[which])))
         upto = bounds[np.concatenate(([0], np.cumsum(counts)))]
-        return self._ids[at], np.diff(upto)
+        return self._gather(which), np.diff(upto)
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
@@ -145,14 +279,3 @@ def encoder_of(path: str, spaces_kept: bool) -> WordEncoder:
         _ENCODERS[key] = WordEncoder(path, spaces_kept)
     return _ENCODERS[key]
 
-
-def chunks(texts: list[str | None], chars: int = 1 << 20):
-    """Runs of texts of about ``chars`` characters: (first, last + 1)."""
-    first, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text) if text else 0
-        if held >= chars or i - first >= 20_000:
-            yield first, i + 1
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)

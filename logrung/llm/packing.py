@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logrung.llm.encode import chunks, encoder_of
+from logrung.llm.encode import TEXT_AT_ONCE, encoder_of
+from logrung.llm.words import text_slices
 from logrung.session import landed
 
 CAPACITY = 2048
@@ -93,26 +94,25 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, spaces_kept)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            doc_ids = batch.column(0).to_pylist()
-            for first, last in chunks(texts):
-                ids, counts = encoder.encode(texts[first:last])
+            for first, last in text_slices(batch.column(1), TEXT_AT_ONCE):
+                ids, counts = encoder.encode(batch.column(1).slice(first, last - first))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-                rows, at = [], 0
-                for doc_id, n in zip(doc_ids[first:last], (counts + 1).tolist(), strict=True):
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        end = min(n, start + capacity)
-                        crc = zlib.crc32(ids[at + start : at + end])
-                        rows.append((doc_id, piece, start, end - start, crc))
-                    at += n
+                lengths = counts + 1
+                many = -(-lengths // capacity)
+                owner = np.repeat(np.arange(last - first), many)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                size = np.minimum(lengths[owner] - start, capacity)
+                ends = np.cumsum(size)
+                view = memoryview(ids).cast("B")
+                sums = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(c, k)
-                        for c, k in zip(
-                            zip(*rows, strict=True),
-                            (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()),
-                            strict=True,
-                        )
+                        batch.column(0).take(pa.array(owner + first)),
+                        pa.array(piece.astype(np.int32)),
+                        pa.array(start),
+                        pa.array(size),
+                        pa.array(sums, pa.int64()),
                     ],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )

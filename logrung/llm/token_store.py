@@ -23,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logrung.llm.encode import chunks, encoder_of
+from logrung.llm.encode import TEXT_AT_ONCE, encoder_of
 from logrung.llm.files import attempt_name, open_for_reading, open_for_writing, shared_folder
+from logrung.llm.words import text_slices
 from logrung.session import landed
 
 SEQUENCE = 2048
@@ -152,9 +153,8 @@ def write_tokens(
         dtype = np.dtype(np.uint16 if max(encoder.n_ids, end_id + 1) <= 1 << 16 else np.uint32)
         shard, out = TaskContext.get().partitionId(), None
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, last in chunks(texts):
-                ids, counts = encoder.encode(texts[first:last])
+            for first, last in text_slices(batch.column(1), TEXT_AT_ONCE):
+                ids, counts = encoder.encode(batch.column(1).slice(first, last - first))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 out = out or _ShardWriter(where, shard, dtype, length, per_batch)
                 out.add(batch.column(0).slice(first, last - first), ids, counts + 1)
