@@ -10,9 +10,8 @@ from logrung.functions.text import computed_once, replace_pattern, strip
 
 # White space, timestamp, level words and the two line shapes.
 _WS = r"[\s\x1c-\x1f]"
-TIMESTAMP = (
-    r"\d{4}-\d{2}-\d{2}(?:T|" + _WS + r")\d{2}:\d{2}:\d{2}(?:[.,]\d+)?" + _WS + r"*(?:[+-]\d{4}|Z)?"
-)
+_CLOCK = r"\d{4}-\d{2}-\d{2}(?:T|" + _WS + r")\d{2}:\d{2}:\d{2}(?:[.,]\d+)?" + _WS + r"*"
+TIMESTAMP = _CLOCK + r"(?:[+-]\d{4}|Z)?"
 LEVEL_WORDS = (
     "TRACE|VERBOSE|VERB|DEBUG|DBG|FINEST|FINER|FINE|WARNING|WARN|WRN|ERROR|SEVERE|ERR|"
     "CRITICAL|CRIT|EMERGENCY|EMERG|DPANIC|PANIC|FATAL|ALERT|NOTICE|INFO"
@@ -21,10 +20,8 @@ STRICT_LINE = (
     r"^(?:.*?(" + TIMESTAMP + r"))?.*?\b(" + LEVEL_WORDS + r"|[TVDIWEF])\b"
     r".*?(?:---|:|" + _WS + r"-" + _WS + r"|\])" + _WS + r"*(.*)$"
 )
-LOOSE_LINE = (
-    r"^(?:.*?(" + TIMESTAMP + r"))?.*?(?:^|" + _WS + r")[A-Z0-9][A-Z0-9_:\-./]+" + _WS + r"+"
-    r"(" + LEVEL_WORDS + r")" + _WS + r"+(.*)$"
-)
+_HEADER = r"(?:^|" + _WS + r")[A-Z0-9][A-Z0-9_:\-./]+" + _WS + r"+(" + LEVEL_WORDS + r")" + _WS + r"+"
+LOOSE_LINE = r"^(?:.*?(" + TIMESTAMP + r"))?.*?" + _HEADER + r"(.*)$"
 METADATA_FIELDS = (
     "app", "container", "detected_level", "filename", "job",
     "namespace", "node_name", "pod", "service_name", "stream",
@@ -79,6 +76,40 @@ def _strict_groups(line: Column) -> Column:
     return F.when(short, _three_groups(line, STRICT_LINE, "i")).otherwise(stepwise)
 
 
+def _loose_groups(line: Column) -> Column:
+    """The loose shape, as :func:`_three_groups` gives it, in linear time for long lines.
+
+    A header and level after the first timestamp are after every shorter form
+    of it too, and after no later timestamp unless after the first. So one pass
+    finds the first timestamp and one the first header behind it. Where there
+    is none, the timestamp may have taken the blank before the header: it gives
+    back its zone and one blank. Else the line has no timestamp that counts.
+    """
+    flags = "(?dU)"
+    stamp = F.regexp_extract(line, f"{flags}({TIMESTAMP})", 1)
+    clock = F.regexp_extract(line, f"{flags}({_CLOCK})", 1)
+    less = F.substring(clock, F.lit(1), F.length(clock) - 1)
+
+    def after(taken: Column) -> Column:
+        return F.substring(line, F.instr(line, taken) + F.length(taken), F.length(line))
+
+    def parts(before: Column, rest: Column) -> Column:
+        behind = F.regexp_replace(rest, f"{flags}^.*?{_HEADER}(.*)$", f"$1{_MARK}$2")
+        return F.concat(F.lit(_MARK), before, F.lit(_MARK), behind)
+
+    header = f"{flags}{_HEADER}"
+    # A character that no header holds: the rest does not begin a line.
+    rest = F.concat(F.lit("x"), after(stamp))
+    stepwise = (
+        F.when((stamp != "") & rest.rlike(header), parts(stamp, rest))
+        .when(clock.rlike(f"{flags}{_WS}$") & after(less).rlike(header), parts(less, after(less)))
+        .when(line.rlike(header), parts(F.lit(""), line))
+        .otherwise(line)
+    )
+    short = (F.length(line) <= LONG_LINE) | F.contains(line, F.lit("\n"))
+    return F.when(short, _three_groups(line, LOOSE_LINE)).otherwise(stepwise)
+
+
 def _group(rewritten: Column, n: int) -> Column:
     # Neither a timestamp nor a level can hold the mark, so the fourth part
     # is the whole message even when the message holds marks of its own.
@@ -92,7 +123,7 @@ def parse_strict(df: DataFrame, line: str, target: str) -> DataFrame:
 
 def parse_loose(df: DataFrame, line: str, target: str) -> DataFrame:
     """Append the loose parse (upper-case level inside a header)."""
-    return _parse_into(df, F.col(line), target, _three_groups(F.col(line), LOOSE_LINE))
+    return _parse_into(df, F.col(line), target, _loose_groups(F.col(line)))
 
 
 def _parse_into(df: DataFrame, line: Column, target: str, groups: Column) -> DataFrame:
@@ -136,7 +167,7 @@ def parse_lines(df: DataFrame, line: str = "raw_line", detected: str | None = No
     rows = rows.withColumn(
         "_hit",
         F.when(F.col("_strict") != text, F.col("_strict")).otherwise(
-            F.nullif(_three_groups(text, LOOSE_LINE), text)
+            F.nullif(_loose_groups(text), text)
         ),
     )
     rows = rows.withColumn("_parts", F.split("_hit", _MARK, 4))

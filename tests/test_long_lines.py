@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logrung.functions import parsing
 from logrung.functions.masking import mask_rule, with_masked
-from logrung.functions.parsing import parse_lines, parse_strict
+from logrung.functions.parsing import parse_lines, parse_loose, parse_strict
 
 # The plain forms, as Python patterns. The class rule keeps to ASCII names in both.
 PLAIN = {
@@ -70,3 +70,32 @@ def test_megabyte_lines_parse_in_seconds(spark):
     assert got[4].p.line_level == "I" and got[4].p.message == "tail"
     assert got[5].p.message == "y"
     assert parse_lines(rows.where("i in (4, 5)"), "raw_line").count() == 2
+
+
+def test_loose_parse_in_steps_equals_the_one_pattern(spark, monkeypatch):
+    rng = random.Random(29)
+    parts = [
+        "R02-M1 ", "AB ", " AB", "INFO ", "WARN", "\t", " ", "  ", "Z", "Z ", "x", "é", "KERNEL INFO ", "5 ", " FATAL x", "+0200", ",123",
+        "2024-01-02 03:04:05", "2024-01-02T03:04:05,123 ", "2024-01-02 03:04:05.9Z", "2024-01-02 03:04:05 +0200 ", "2024-01-02 03:04:05  ", "2024-01-0",
+    ]
+    lines = ["", "AB INFO x", " AB INFO x", "2024-01-02 03:04:05 AB INFO x", "2024-01-02 03:04:05 ZONE INFO x", "2024-01-02 03:04:05 AB INFO x CD WARN y"]
+    lines += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(20_000)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string").repartition(8)
+    found = {}
+    for name, limit in (("one", 10**9), ("steps", -1)):
+        monkeypatch.setattr(parsing, "LONG_LINE", limit)
+        found[name] = {r.i: r.p for r in parse_loose(rows, "line", "p").select("i", "p").collect()}
+    assert sum(p is not None for p in found["one"].values()) > 2000
+    for i, line in enumerate(lines):
+        assert found["one"][i] == found["steps"][i], line
+
+
+def test_megabyte_lines_parse_loosely_in_seconds(spark):
+    stamp = "2024-01-02 03:04:05 "
+    lines = [stamp * 50_000, stamp * 50_000 + "AB INFO end", "AB " * 330_000, "AB " * 330_000 + "INFO tail", "A" * 1_000_000, "AB" + " " * 1_000_000, "AB INFO" * 140_000]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, raw_line string")
+    start = time.time()
+    got = {r.i: r.p for r in parse_loose(rows, "raw_line", "p").collect()}
+    assert time.time() - start < 60
+    assert got[0] is None and got[2] is None and got[4] is None and got[5] is None and got[6] is None
+    assert (got[1].line_level, got[1].message) == ("INFO", "end") and (got[3].line_level, got[3].message) == ("INFO", "tail")
