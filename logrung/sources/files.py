@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from logrung.functions.parsing import METADATA_FIELDS, parse_lines
 from logrung.functions.text import EXTRA_LINE_BREAKS, dataset_key, is_blank
 from logrung.session import landed, qualified_path
+from logrung.sources.json_arrays import array_items, is_object
 from logrung.sources.records import project_records
 
 #: Lines of a block: what ranks over files count and sort at a time.
 LINES_PER_BLOCK = 1_000_000
 
+#: JSON files of more bytes are cut by many tasks.
+WHOLE_FILE = 64 << 20
+
 TEXT_GLOB = "*.[lL][oO][gG]"
 JSON_GLOB = "*.[jJ][sS][oO][nN]"
 
 
-def _open(spark: SparkSession, root: str, glob: str, name_pattern: str | None, whole: bool) -> DataFrame:
+def _open(
+    spark: SparkSession, root: str, glob: str, name_pattern: str | None, whole: bool, separator: str | None = None
+) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if separator is not None:
+        reader = reader.option("lineSep", separator)
     try:
         files = reader.text(root, wholetext=whole)
     except AnalysisException as error:
@@ -95,45 +103,93 @@ def scan_text(
     ).filter(~is_blank(F.col("raw_line")))
 
 
-def _json_files(spark: SparkSession, root: str, name_pattern: str | None) -> DataFrame:
+def _json_files(spark: SparkSession, root: str, name_pattern: str | None, whole_file: int) -> DataFrame:
     # One variant per item: an odd item does not spoil its neighbours, and a
-    # payload that is no array (or is cut off) gives null.
-    return _open(spark, root, JSON_GLOB, name_pattern, whole=True).select(
+    # payload that is no array (or is cut off) gives null. The brackets around
+    # it make text behind the array an error, which the reader passes over at the end.
+    files = _open(spark, root, JSON_GLOB, name_pattern, whole=True)
+    wrapped = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<array<variant>>")
+    return files.filter(F.col("_metadata.file_size") <= whole_file).select(
         _file_path().alias("file_path"),
         "value",
-        F.from_json("value", "array<variant>").alias("items"),
+        F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0))).alias("items"),
     )
 
 
-def _is_object(item: Column) -> Column:
-    return F.schema_of_variant(item).startswith("OBJECT")
+def _large_arrays(
+    spark: SparkSession, root: str, name_pattern: str | None, whole_file: int
+) -> tuple[DataFrame, DataFrame] | None:
+    """:func:`array_items` of the files above ``whole_file`` bytes, None where there are none."""
+    known = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", JSON_GLOB)
+    # Lengths are known from the listing; no content is read.
+    if known.load(root).select("length").filter(F.col("length") > whole_file).isEmpty():
+        return None
+    lines = _open(spark, root, JSON_GLOB, name_pattern, whole=False, separator="}")
+    return array_items(
+        lines.filter(F.col("_metadata.file_size") > whole_file).select(
+            _file_path().alias("file_path"), F.col("_metadata.file_block_start").alias("split"), "value"
+        )
+    )
 
 
-def scan_json(spark: SparkSession, root: str, name_pattern: str | None = None) -> DataFrame:
-    """(file_path, block, pos, raw_json): one row per object in a JSON array file."""
-    items = _json_files(spark, root, name_pattern).select(
-        "file_path",
-        F.lit(0).cast("long").alias("block"),
-        F.posexplode("items").alias("pos", "raw_json"),
+def scan_json(
+    spark: SparkSession, root: str, name_pattern: str | None = None, whole_file: int = WHOLE_FILE
+) -> DataFrame:
+    """(file_path, block, pos, raw_json): one row per object in a JSON array file.
+
+    ``pos`` is the item's place in its array, ``block`` that of its run of a
+    million. Files above ``whole_file`` bytes are cut by many tasks, smaller
+    ones are a row each; the result is the same. A file that is malformed
+    anywhere, or no array, gives no rows.
+    """
+    items = _json_files(spark, root, name_pattern, whole_file).select(
+        "file_path", F.posexplode("items").alias("pos", "raw_json")
     )
-    return items.filter(_is_object(F.col("raw_json"))).withColumn("pos", F.col("pos").cast("long"))
+    large = _large_arrays(spark, root, name_pattern, whole_file)
+    if large is not None:
+        cut, found = large
+        sound = cut.join(found.where("sound").select("file_path"), "file_path", "left_semi")
+        items = items.unionByName(sound.select("file_path", "pos", F.col("item").alias("raw_json")))
+    items = items.filter(is_object(F.col("raw_json"))).withColumn("pos", F.col("pos").cast("long"))
+    return items.select("file_path", F.floor(F.col("pos") / LINES_PER_BLOCK).alias("block"), "pos", "raw_json")
 
 
-def load_counters(spark: SparkSession, root: str, name_pattern: str | None = None) -> DataFrame:
+def load_counters(
+    spark: SparkSession, root: str, name_pattern: str | None = None, whole_file: int = WHOLE_FILE
+) -> DataFrame:
     """(file_path, status, items, kept, dropped) per JSON file.
 
     Status is ok, malformed, not_array or empty (an array without records).
+    Files above ``whole_file`` bytes count as not_array by their first character.
     """
-    kept = F.size(F.filter("items", _is_object))
-    files = _json_files(spark, root, name_pattern).select(
+    kept = F.size(F.filter("items", is_object))
+    files = _json_files(spark, root, name_pattern, whole_file).select(
         "file_path",
         F.when(F.col("items").isNotNull(), F.when(kept > 0, "ok").otherwise("empty"))
-        .when(F.try_parse_json("value").isNull(), "malformed")
+        .when(F.try_parse_json("value").isNull() | F.col("value").rlike(r"^\s*\["), "malformed")
         .otherwise("not_array")
         .alias("status"),
         F.coalesce(F.when(F.col("items").isNotNull(), F.size("items")), F.lit(0)).alias("items"),
         F.coalesce(F.when(F.col("items").isNotNull(), kept), F.lit(0)).alias("kept"),
     )
+    large = _large_arrays(spark, root, name_pattern, whole_file)
+    if large is not None:
+        cut, found = large
+        counted = cut.groupBy("file_path").agg(
+            F.count("*").cast("int").alias("items"), F.count_if(is_object(F.col("item"))).cast("int").alias("kept")
+        )
+        kept = F.coalesce("kept", F.lit(0))
+        files = files.unionByName(
+            found.join(counted, "file_path", "left").select(
+                "file_path",
+                F.when(F.col("sound"), F.when(kept > 0, "ok").otherwise("empty"))
+                .when(F.col("other"), "not_array")
+                .otherwise("malformed")
+                .alias("status"),
+                F.when(F.col("sound"), F.coalesce("items", F.lit(0))).otherwise(0).alias("items"),
+                F.when(F.col("sound"), kept).otherwise(0).alias("kept"),
+            )
+        )
     return files.withColumn("dropped", F.col("items") - F.col("kept"))
 
 
