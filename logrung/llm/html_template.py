@@ -34,6 +34,8 @@ LEAST_PAGES = 3
 LINK_SHARE = 0.5
 #: Share of a host's free text that its article or main element must hold to be taken for one.
 MAIN_SHARE = 0.5
+#: Without such an element, a container that holds this share of a host's free text is the main one.
+DENSE_SHARE = 0.8
 #: Blocks of nothing but links are a slot of their own beside the sentences of the same path.
 _LINKS = "/=links"
 
@@ -194,6 +196,41 @@ def templates(tokens: DataFrame, host_pages: DataFrame) -> DataFrame:
     )
 
 
+def outside_of_dense(slots: list[tuple[str, int]]) -> list[str]:
+    """Of (path, characters) those that lie beside the container of most text.
+
+    From the root down, the child of the container so far that holds
+    DENSE_SHARE of the text is entered as long as it is a container itself,
+    that is, all its text lies in slots below it. Headings beside it stay, for
+    a title often stands before its text.
+    """
+    inside, beside, depth = slots, [], 1
+    while True:
+        mass: dict[str, int] = {}
+        flat: set[str] = set()
+        for path, chars in inside:
+            steps = path.split("/")
+            child = "/".join(steps[: depth + 1])
+            mass[child] = mass.get(child, 0) + chars
+            if len(steps) <= depth + 1:
+                flat.add(child)
+        child, most = max(mass.items(), key=lambda x: (x[1], x[0]), default=("", 0))
+        if not child or child in flat or most < DENSE_SHARE * sum(mass.values()):
+            return beside
+        below = [s for s in inside if s[0] == child or s[0].startswith(child + "/")]
+        beside += [s[0] for s in inside if s not in below and s[0].rsplit("/", 1)[-1].split(".")[0] not in _HEADINGS]
+        inside, depth = below, depth + 1
+
+
+_HEADINGS = frozenset("h1 h2 h3".split())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _beside(free: pa.Array) -> pa.Array:
+    rows = free.to_pylist()
+    return pa.array([outside_of_dense([(x["token"], x["chars"]) for x in r or ()]) for r in rows], pa.list_(pa.string()))
+
+
 def slots_by_host(found: DataFrame) -> DataFrame:
     """(host, furniture, own, main_holds): what the template says of a host's slots.
 
@@ -201,18 +238,28 @@ def slots_by_host(found: DataFrame) -> DataFrame:
     article or main element (advertisements also change from page to page) tie
     with those inside; ``main_holds`` breaks the tie when the slots inside hold
     most of the host's free text. Where they do not, the element is no main
-    one and all free slots are own. It is null when no slot could be told.
+    one and all free slots are own. On a host without any such element the
+    template alone tells: slots beside the container of most free text are
+    furniture. ``main_holds`` is null when no slot could be told.
     """
     free = F.col("free") & (F.col("own_chars") > 0)
     held = found.where("furniture or free").groupBy("host").agg(
         F.sort_array(F.collect_list(F.when(F.col("furniture"), F.col("token")))).alias("furniture"),
-        F.sort_array(F.collect_list(F.when(free, F.struct("token", (F.col("main_chars") > 0).alias("main"))))).alias("free"),
+        F.sort_array(
+            F.collect_list(F.when(free, F.struct("token", (F.col("main_chars") > 0).alias("main"), F.col("own_chars").alias("chars"))))
+        ).alias("free"),
         F.sum(F.when(free, F.col("main_chars"))).alias("inside"),
         F.sum(F.when(free, F.col("own_chars"))).alias("all"),
     )
     holds = F.col("inside") >= MAIN_SHARE * F.col("all")
-    own = F.filter("free", lambda x: x["main"] | ~holds)
-    return held.select("host", "furniture", F.transform(own, lambda x: x["token"]).alias("own"), holds.alias("main_holds"))
+    beside = F.when(F.col("inside") == 0, _beside("free")).otherwise(F.array().cast("array<string>"))
+    own = F.filter("free", lambda x: (x["main"] | ~holds) & ~F.array_contains("beside", x["token"]))
+    return held.withColumn("beside", beside).select(
+        "host",
+        F.array_union("furniture", "beside").alias("furniture"),
+        F.transform(own, lambda x: x["token"]).alias("own"),
+        holds.alias("main_holds"),
+    )
 
 
 def main_text(

@@ -2,11 +2,12 @@
 
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from logrung.llm.html_template import extract_main_text, main_text, templates, token_table
+from logrung.llm.html_template import extract_main_text, main_text, outside_of_dense, templates, token_table
 from logrung.llm.queries import op4_html_template
 
 HEAD = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p><article>x';</script></head><body>"
@@ -128,3 +129,55 @@ def test_names_drop_nothing_of_an_article_that_the_template_does_not_confirm(spa
     got = {r.page_id: r.text for r in extract_main_text(pages).collect()}
     assert got[9] == "Notice. Related work. Law. End"
     assert [got[i] for i in range(4)] == [f"Notice {i}. Body {i}. Same." for i in range(4)]
+
+
+ARTICLE = '<article><p title="hidden gem">Keep this.</p><p data-hidden="false" alt="class=ad id=footer">And this.</p></article>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        HEAD + ARTICLE,
+        HEAD + f'<form id="page"><nav>n</nav>{ARTICLE}<footer>f</footer></form>',
+        HEAD + f'<div class="header"><div class="nav">Home</div>{ARTICLE}</div>',
+        HEAD + f'<div class="main-nav">Home</div>{ARTICLE}',
+        HEAD + f'<object data="x">{ARTICLE}',
+        HEAD + f'<header>{ARTICLE}<form>search</form></header><div class="comments"><article>I say</article></div>',
+        HEAD + f'<aside><article>teaser</article></aside>{ARTICLE}',
+    ],
+)
+def test_wrappers_and_attributes_cost_no_text(spark, page):
+    assert main_text(page, None) == "Keep this. And this."
+    pages = spark.createDataFrame([(i, "http://a.example/", page) for i in range(4)], "page_id long, url string, html string")
+    assert {r.text for r in extract_main_text(pages).collect()} == {"Keep this. And this."}
+
+
+def test_a_form_around_a_page_without_an_article():
+    assert main_text(HEAD + f"<form><p>{'Long text. ' * 9}</p><button>Go</button></form><p>End</p>", None) == f"{'Long text. ' * 9}End"
+    assert main_text(HEAD + f"<p>{'Long text. ' * 9}</p><form>Name <input> please</form>", None) == ("Long text. " * 9).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<b>" * 200_000, "<b>" * 90_000 + "</i>" * 90_000, "<object>" * 120_000, "<!--" * 250_000, "<" * 1_000_000,
+     '<a ">' * 150_001, "<p><b>" * 90_000, "<ul><li>" * 90_000, "<script>" * 120_000, '<p class="' + "x y " * 250_000 + '">t</p>'],
+)
+def test_a_megabyte_of_open_tags_takes_seconds(page):
+    began = time.perf_counter()
+    main_text(page, None)
+    assert time.perf_counter() - began < 30
+
+
+def test_an_advertisement_is_told_without_any_name(spark):
+    rows = [(i, "http://a.example/", _bare(i, f"<div class='q'>Buy {i}</div>").replace("Body", "Body text " * 20)) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(pages.repartition(3)).collect()}
+    assert got == {i: f"Title {i} {'Body text ' * 20} {i} of the page.".replace("  ", " ") for i in range(6)}
+
+
+def test_what_lies_beside_the_densest_container():
+    assert outside_of_dense([("/b/x/p", 900), ("/b/x/q", 10), ("/b/y", 50)]) == ["/b/y"]
+    assert outside_of_dense([("/b/x/p", 900), ("/b/h1", 10), ("/b/y/z", 5)]) == ["/b/y/z"]
+    assert outside_of_dense([("/b/x", 900), ("/b/y", 50)]) == []
+    assert outside_of_dense([("/b/x/p", 500), ("/b/y/p", 400)]) == []
+    assert outside_of_dense([]) == []
