@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 from itertools import chain
@@ -279,3 +281,15 @@ def encoder_of(path: str, spaces_kept: bool) -> WordEncoder:
         _ENCODERS[key] = WordEncoder(path, spaces_kept)
     return _ENCODERS[key]
 
+
+def free_encoders() -> None:
+    """Drop the encoders of this worker process, which Spark may have kept from another operator's tasks."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            # Not every C library can give memory back.
+            pass

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logrung.llm.draws import RANGE, draw, share
+from logrung.llm.encode import free_encoders
 from logrung.llm.files import attempt_name, open_for_reading, open_for_writing, shared_folder
 from logrung.llm.text_stats import fold_of
 from logrung.llm.words import mix64, text_slices
@@ -250,14 +252,13 @@ def train(docs: DataFrame, learn: Column, texts_per_language: int = TEXTS_PER_LA
     if not sizes:
         return ""
     # The text draws too, so that rows of one repeated id are not drawn or left as one.
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000))
-    share = F.lit(1_000_000)
+    below = F.lit(RANGE)
     for lang, n in sizes.items():
         if n > texts_per_language:
-            share = F.when(F.col("lang") == lang, int(1_000_000 * texts_per_language / n)).otherwise(share)
+            below = F.when(F.col("lang") == lang, share(texts_per_language, n)).otherwise(below)
     sample = landed(
         usable.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(CALIBRATION_SHARE)) == 0)
-        .where(draw < share)
+        .where(draw("doc_id", "text", F.lit(11)) < below)
         .select("lang", "text", "calibrates"),
         "language-sample",
     )
@@ -385,6 +386,7 @@ def predictor(path: str):
 
     @F.arrow_udf(PREDICTION)
     def predict(texts: pa.Array) -> pa.Array:
+        free_encoders()
         langs, models = _load(path)
         found, sizes = _entropies(texts, models)
         n = len(sizes)

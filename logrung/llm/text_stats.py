@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logrung.llm.draws import draw, share
 from logrung.llm.words import text_slices, window_hashes, words_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -163,9 +164,7 @@ def label_marks(labels: DataFrame, label: str, limit: int) -> DataFrame:
     total = marked.count()
     if total > limit:
         # The same share of the hash range for every label.
-        marked = marked.where(
-            F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * limit / total)
-        )
+        marked = marked.where(draw("doc_id", F.lit(5)) < share(limit, total))
     return marked
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from logrung.llm.draws import RANGE, draw, share
 from logrung.llm.language_id import KneserNey, _load, _suffix, accepted_rows, char_codes, four_grams, language_table, train
 from logrung.llm.queries import op9_language_id
 
@@ -126,3 +127,12 @@ def test_every_language_has_a_limit(spark):
     path = train(spark.createDataFrame(texts, "doc_id long, text string, lang string"), F.lit(True))
     langs, models = _load(path)
     assert langs == ["de", "en"] and all(np.isfinite(m.limit) for m in models)
+
+
+def test_draws_hold_at_any_size(spark):
+    for n in (10, 4_001, 10**7, 10**10, 10**18, 10**30):
+        assert 0 < share(4_000, n) <= RANGE and (n <= 4_000) == (share(4_000, n) == RANGE)
+        if 4_000 < n < 10**15:
+            assert abs(share(4_000, n) / RANGE * n - 4_000) < 1
+    drawn = spark.range(100_000).where(draw("id") < share(2_000, 100_000)).count()
+    assert abs(drawn - 2_000) < 250 and spark.range(1000).where(draw("id") < RANGE).count() == 1000
