@@ -22,15 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logrung.llm.components import components
+from logrung.llm.encode import free_encoders
 from logrung.llm.words import mix64, shingle_set, text_slices, words_of
 from logrung.session import landed
 
 #: Members of a bucket that are compared in one task with as many others.
 BLOCK = 512
+#: A block's sketches take about as many bytes: the sketches of band b have about 3^b bytes.
+BLOCK_BYTES = 4 << 20
 #: Keys that a task holds before it sends them.
 KEYS_AT_ONCE = 1 << 18
 _BAND_BITS = 8
@@ -141,6 +145,7 @@ def shingle_nodes(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
     """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_encoders()
         for batch in batches:
             sizes, ids, sketches = [], [], []
             seen: set[int] = set()
@@ -185,6 +190,7 @@ def part_entries(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_encoders()
         for batch in batches:
             seen: set[int] = set()
             keys, nodes, held = [], [], 0
@@ -329,16 +335,52 @@ def verified(pairs: DataFrame, bodies: DataFrame, limit: Threshold) -> DataFrame
     )
 
 
+def _forest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Places of the pairs (p, q), taken in order, that join two trees."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    kept = []
+    for at, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            root[x] = y
+            kept.append(at)
+    return np.array(kept, np.int64)
+
+
+def _sketch_rows(bits: pa.ChunkedArray) -> np.ndarray:
+    """Sketches of one length as rows, a view of the Arrow buffer."""
+    column = bits.combine_chunks()
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+
+
 def _compare_blocks(limit: Threshold, forests: int):
-    """A function of the rows of one (key, block, block) group: pairs that may link across components."""
+    """A function of the rows of one (key, block, block) group: pairs that may link across components.
+
+    Rows of side 2 are pairs (node, label) of nodes that are known not to link.
+    All that is held are arrays of a block's size.
+    """
 
     def compare(rows: pa.Table) -> pa.Table:
+        failed = rows.filter(pc.equal(rows["side"], 2))
+        rows = rows.filter(pc.less(rows["side"], 2))
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not rows.num_rows:
+            return none
         side = rows["side"].to_numpy()
         node, label, n = rows["node"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy()
-        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        bits = _sketch_rows(rows["bits"])
         few, many = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        known = {x: set(f or ()) for x, f in zip(node.tolist(), rows["failed"].to_pylist(), strict=True)}
-        found: list[tuple[int, int, int]] = []
+        order = np.argsort(node[many], kind="stable")
+        many = many[order]
+        parts = []
         for i in few.tolist():
             apart = many[label[many] != label[i]]
             total = n[apart] + n[i]
@@ -348,37 +390,46 @@ def _compare_blocks(limit: Threshold, forests: int):
                 continue
             distance = np.bitwise_count(bits[apart] ^ bits[i]).sum(axis=1, dtype=np.int64)
             near = distance <= limit.most_different(total)
-            found += [(int(d), i, int(j)) for d, j in zip(distance[near], apart[near], strict=True)]
-        found = [f for f in sorted(found) if node[f[2]] not in known[int(node[f[1]])]]
-        kept: list[tuple[int, int]] = []
+            parts.append(np.stack((distance[near], np.full(int(near.sum()), i), apart[near])))
+        if not parts:
+            return none
+        distance, i, j = np.concatenate(parts, axis=1)
+        if failed.num_rows:
+            # Pairs as numbers: the place of the second node among all of the block, after the first's.
+            names = np.unique(node)
+            x, y = failed["node"].to_numpy(), failed["label"].to_numpy()
+            held = np.isin(x, names) & np.isin(y, names)
+            known = np.searchsorted(names, x[held]) * len(names) + np.searchsorted(names, y[held])
+            code = np.searchsorted(names, node[i]) * len(names) + np.searchsorted(names, node[j])
+            new = ~np.isin(code, known)
+            distance, i, j = distance[new], i[new], j[new]
+        order = np.lexsort((j, i, distance))
+        i, j = i[order], j[order]
+        kept: list[np.ndarray] = []
         for _ in range(forests):
-            # A spanning forest over components: enough if all its pairs turn out to link.
-            root: dict[int, int] = {}
-
-            def top(x: int, root: dict[int, int] = root) -> int:
-                while root.get(x, x) != x:
-                    root[x] = root.get(root[x], root[x])
-                    x = root[x]
-                return x
-
-            rest = []
-            for f in found:
-                p, q = top(int(label[f[1]])), top(int(label[f[2]]))
-                if p == q:
-                    rest.append(f)
-                else:
-                    root[p] = q
-                    kept.append((int(node[f[1]]), int(node[f[2]])))
-            if len(rest) == len(found):
+            if not len(i):
                 break
-            found = rest
-        return pa.table(
-            {"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64())}
-        )
+            # Of the pairs of two components only the nearest can be in the forest.
+            _, x = np.unique(label[i], return_inverse=True)
+            _, y = np.unique(label[j], return_inverse=True)
+            first = np.sort(np.unique(x * (int(y.max()) + 1) + y, return_index=True)[1])
+            # A spanning forest over components: enough if all its pairs turn out to link.
+            tree = first[_forest(label[i[first]], label[j[first]])]
+            kept.append(np.stack((node[i[tree]], node[j[tree]])))
+            left = np.ones(len(i), bool)
+            left[tree] = False
+            i, j = i[left], j[left]
+        a, b = np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return compare
 
 
+def block_rows(band: Column) -> Column:
+    """Members of a block: at most BLOCK, fewer where long sets have sketches of many bytes."""
+    return F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / F.pow(F.lit(3.0), band)))).cast("int")
+
+
 def open_buckets(stars: DataFrame) -> DataFrame:
     """(key, node) of the buckets with three or more members, one bucket of each set of members.
 
@@ -416,33 +467,34 @@ def cross_pairs(
     )
     open_ = (
         labelled.join(split, "key")
-        .withColumn("few", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
-        .withColumn("many", F.ceil(F.col("all") / BLOCK).cast("int"))
+        .withColumn("band", F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)"))
+        .withColumn("rows", block_rows(F.col("band")))
+        .withColumn("few", F.ceil((F.col("all") - F.col("most")) / F.col("rows")).cast("int"))
+        .withColumn("many", F.ceil(F.col("all") / F.col("rows")).cast("int"))
         .withColumn("own", F.xxhash64("node"))
+        .withColumn("i", F.pmod("own", F.col("few")).cast("int"))
+        .withColumn("j", F.pmod("own", F.col("many")).cast("int"))
     )
+    outside = open_.where("label <> big")
     many = open_.select(
-        "key",
-        F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"),
-        F.pmod("own", F.col("many")).cast("int").alias("j"),
-        "node",
-        "label",
-        F.lit(1).alias("side"),
+        "key", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), "j", "node", "label", "band", F.lit(1).alias("side")
     )
-    few = open_.where("label <> big").select(
-        "key",
-        F.pmod("own", F.col("few")).cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"),
-        "node",
-        "label",
-        F.lit(0).alias("side"),
-    )
-    rows = (
-        few.unionByName(many).withColumn("band", F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)"))
-        .join(sketches, ["node", "band"])
+    few = outside.select(
+        "key", "i", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"), "node", "label", "band", F.lit(0).alias("side")
     )
+    rows = few.unionByName(many).join(sketches, ["node", "band"]).select("key", "i", "j", "node", "label", "side", "n", "bits")
     both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rows = rows.join(both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left")
-    return rows.groupBy("key", "i", "j").applyInArrow(_compare_blocks(limit, forests), "a long, b long")
+    # Failed pairs go to the one block of a bucket where their nodes meet.
+    known = (
+        outside.select("key", "i", F.col("node").alias("a"))
+        .join(both, "a")
+        .join(open_.select("key", "j", F.col("node").alias("b")), ["key", "b"])
+        .select(
+            "key", "i", "j", F.col("a").alias("node"), F.col("b").alias("label"), F.lit(2).alias("side"),
+            F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("bits"),
+        )
+    )
+    return rows.unionByName(known).groupBy("key", "i", "j").applyInArrow(_compare_blocks(limit, forests), "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
