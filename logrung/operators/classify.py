@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.feature import ElementwiseProduct, HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -23,23 +25,58 @@ from logrung.functions.levels import UNKNOWN, level_name, literal_map
 from logrung.functions.vectors import GCE_Q, PROBABILITY_FLOOR, argmax, gce_loss, softmax
 from logrung.operators.metrics import class_weights, macro_f1, weighted_loss
 from logrung.operators.tokens import tokenizer
+from logrung.session import landed
 
 WCE, GCE = "weighted_ce", "gce"
 
+#: A fit counts equal rows together, but no more of them in one than this part of all rows.
+FIT_PARTS = 1 << 17
+#: Rows of a task that fits.
+FIT_TASK_ROWS = 1 << 18
+
 Scorer = Callable[[DataFrame], DataFrame]
 LogitFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 
 
-def _features(df: DataFrame, text: str, buckets: int) -> PipelineModel:
+def _features(counted: DataFrame, text: str, buckets: int) -> PipelineModel:
+    """Hashed tokens times log((rows + 1) / (rows with the bucket + 1)); ``counted`` has the text and ``_n``, its rows."""
     words = tokenizer(text, "_words")
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=buckets)
-    idf = IDF(inputCol="_counts", outputCol="_features")
-    return Pipeline(stages=[words, counts, idf]).fit(df)
-
-
-def weight_of(labelled: DataFrame, label: str = "label") -> Column:
+    seen = HashingTF(inputCol="_words", outputCol="_seen", numFeatures=buckets, binary=True)
+    hashed = seen.transform(words.transform(counted))
+    # One number for each bucket comes to the driver.
+    found = hashed.agg(
+        Summarizer.metrics("sum").summary(F.col("_seen"), F.col("_n").cast("double")).alias("s"), F.sum("_n").alias("rows")
+    ).select("s.sum", "rows").first()
+    if found["rows"] is None:
+        raise ValueError("no rows to train on")
+    idf = Vectors.dense(np.log((found["rows"] + 1.0) / (found["sum"].toArray() + 1.0)))
+    weighed = ElementwiseProduct(inputCol="_counts", outputCol="_features", scalingVec=idf)
+    return PipelineModel(stages=[words, counts, weighed])
+
+
+def _fit_rows(counted: DataFrame, parts: int) -> DataFrame:
+    """``counted`` with ``_rows`` in place of ``_n``: rows that stand for at most 1 / ``parts`` of all each.
+
+    Up to ``parts`` rows stay single. Above, there are never more than ``parts``
+    and one for each distinct row, and each is so light that the classifier's
+    standard deviations, whose weights are not counts, come out as those of
+    single rows.
+    """
+    spark = counted.sparkSession
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct")).first()
+    size = max(1, -(-total["rows"] // parts))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(total["distinct"] + parts) // FIT_TASK_ROWS))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(size).cast("long"))
+    apart = counted.withColumn("_start", F.explode(starts))
+    apart = apart.withColumn("_rows", F.least(F.lit(size), F.col("_n") - F.col("_start")).cast("double"))
+    # One very frequent text is many such rows: they are dealt anew.
+    return apart.drop("_n", "_start").repartition(tasks)
+
+
+def weight_of(labelled: DataFrame, label: str = "label", rows: str | None = None) -> Column:
     """Class weight by label as a literal map (one entry per class)."""
-    weights = {r["label"]: r["weight"] for r in class_weights(labelled, label).collect()}
+    weights = {r["label"]: r["weight"] for r in class_weights(labelled, label, rows=rows).collect()}
     return F.element_at(literal_map(weights), F.col(label).cast("int"))
 
 
@@ -71,8 +108,9 @@ def train_severity(
     buckets: int = 1 << 14,
     max_iter: int = 30,
     reg: float = 1e-3,
+    parts: int = FIT_PARTS,
 ) -> PipelineModel:
-    """Fit the classifier on masked text.
+    """Fit the classifier on masked text; equal rows are counted and fitted together.
 
     ``loss='gce'`` starts from the cross-entropy fit and re-weights rows by
     p**q of their own class: the gradient of the generalised cross entropy is
@@ -81,11 +119,12 @@ def train_severity(
     """
     if loss not in (WCE, GCE):
         raise ValueError(f"unknown loss {loss!r}")
-    features = _features(train.select(text), text, buckets)
-    rows = features.transform(train.select(text, label)).select(
+    counted = landed(train.groupBy(text, label).agg(F.count("*").alias("_n")), "fit-rows")
+    features = _features(counted, text, buckets)
+    rows = features.transform(_fit_rows(counted, parts)).select(
         "_features",
         F.col(label).cast("double").alias(label),
-        weight_of(train, label).alias("_class_weight"),
+        (weight_of(counted, label, "_n") * F.col("_rows")).alias("_class_weight"),
     )
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -164,18 +203,19 @@ def external_scorer(factory: LogitFactory, text: str = "message") -> Scorer:
     ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     """
 
-    def run(df: DataFrame) -> DataFrame:
-        names = df.columns
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = factory()
+        for texts in batches:
+            found = np.asarray(predict(texts.tolist()), dtype=float)
+            yield pd.Series(list(found), index=texts.index, dtype=object)
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-            predict = factory()
-            for batch in batches:
-                logits = np.asarray(predict(batch[text].tolist()), dtype=float)
-                yield batch.assign(logits=list(logits))
+    # Only the texts travel to Python; not deterministic, so that no later filter has the model run twice.
+    logits = score.asNondeterministic()
 
-        fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-        with_logits = df.mapInPandas(score, f"{fields}, logits array<double>")
-        return label_from_logits(with_logits).select(*names, "predicted_label", "confidence")
+    def run(df: DataFrame) -> DataFrame:
+        with_logits = df.withColumn("_logits", logits(F.col(text)))
+        return label_from_logits(with_logits, "_logits").select(*df.columns, "predicted_label", "confidence")
 
     return run
 

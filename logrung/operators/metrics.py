@@ -173,12 +173,16 @@ def unknown_distribution(scored: DataFrame) -> DataFrame:
     )
 
 
-def class_weights(labelled: DataFrame, label: str = "label", classes: int = len(CANONICAL_LEVELS)) -> DataFrame:
+def class_weights(
+    labelled: DataFrame, label: str = "label", classes: int = len(CANONICAL_LEVELS), rows: str | None = None
+) -> DataFrame:
     """Balanced weights n / (classes * count); absent classes weigh 0.
 
-    Without any row every class weighs 1.
+    Without any row every class weighs 1. ``rows`` names a column of counts of
+    rows that are counted already.
     """
-    counts = labelled.groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n"))
+    n = F.count("*") if rows is None else F.sum(rows)
+    counts = labelled.groupBy(F.col(label).cast("int").alias("label")).agg(n.alias("n"))
     ids = labelled.sparkSession.range(classes).select(F.col("id").cast("int").alias("label"))
     # One row per class from here on.
     filled = ids.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark import cloudpickle
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import functions as F
 
 from logrung.functions.vectors import argmax, gce_loss, label_probability, mean_pool, softmax, wce_loss
@@ -56,6 +58,33 @@ def test_noise_tolerant_loss_does_not_rise(labelled, model):
         classify.train_severity(labelled, loss="other")
 
 
+def test_external_model_gets_texts_only(spark):
+    rows = spark.createDataFrame([(1, "abc", None, b"x"), (2, "abcdef", 7, None)], "id int, message string, n long, raw binary")
+    got = classify.external_scorer(by_length)(rows)
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, r.message, r.n, r.raw) for r in got.orderBy("id").collect()] == [(1, "abc", None, bytearray(b"x")), (2, "abcdef", 7, None)]
+    assert got.columns == ["id", "message", "n", "raw", "predicted_label", "confidence"]
+
+
+def test_equal_rows_are_fitted_together(spark, labelled, model):
+    counted = labelled.groupBy("text", "label").agg(F.count("*").alias("_n"))
+    # A text of most rows is cut into parts; no row is lost.
+    heavy = counted.withColumn("_n", F.when(F.col("_n") == counted.agg(F.max("_n")).scalar(), 1_000_000).otherwise(F.col("_n")))
+    rows, distinct = heavy.agg(F.sum("_n")).first()[0], heavy.count()
+    held = classify._fit_rows(heavy, 1000).agg(F.sum("_rows"), F.count("*"), F.max("_rows")).first()
+    assert held[0] == rows and distinct < held[1] <= 1000 + distinct and held[2] == -(-rows // 1000)
+    # The model is that of the single rows, and of a plain document frequency.
+    many = labelled.crossJoin(spark.range(50).select(F.col("id").alias("copy")))
+    settings = {"buckets": 256, "max_iter": 60}
+    pick = lambda m: [r.confidence for r in classify.score_batch(m, labelled, "text").orderBy("id").collect()]
+    together = pick(classify.train_severity(many, parts=2000, **settings))
+    assert np.allclose(together, pick(classify.train_severity(many, **settings)), rtol=1e-3)
+    words = RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\s+", toLowercase=False)
+    tf = HashingTF(inputCol="w", outputCol="c", numFeatures=256)
+    plain = Pipeline(stages=[words, tf, IDF(inputCol="c", outputCol="f")]).fit(labelled).stages[2].idf
+    assert np.allclose(model.stages[2].getScalingVec().toArray(), plain.toArray(), rtol=1e-12)
+
+
 def test_model_roundtrip(labelled, model, tmp_path):
     save_model(model, str(tmp_path / "m"))
     loaded = load_model(str(tmp_path / "m"))
