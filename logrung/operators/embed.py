@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,8 +21,11 @@ from logrung.session import landed
 
 #: Tokens share a document frequency by the first hexadecimal digits of their hash.
 BUCKET_DIGITS = 3
-_HEX = "0123456789abcdef"
 _BITS = 128
+_SPACES = re.compile(rb"[ \t\n\x0b\f\r]+")
+#: Tokens whose signs a task keeps between batches.
+_KEPT_TOKENS = 1 << 15
+_BYTES_AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -60,29 +68,74 @@ def embed_messages(model: HashedEmbedder, df: DataFrame, output: str = "embeddin
     """Append the weighted mean of the signs of a message's tokens; row-local.
 
     Sign d of a token is bit d of its md5 with the seed, in blocks of 128. A
-    message without tokens gets zeros.
+    message without tokens gets zeros. Equal messages of a batch are embedded
+    once, and tokens are added in the order of the message.
     """
-    weights = model.weights.select("weights").scalar()
-    blocks = -(-model.size // _BITS)
-
-    def token(w: Column) -> Column:
-        hashes = F.concat(*[F.md5(F.concat(F.lit(f"{model.seed}:{k}:"), w)) for k in range(blocks)])
-        place = F.conv(_bucket(w), 16, 10).cast("int")
-        return F.struct(hashes.alias("h"), F.get(F.col("_weights"), place).alias("f"))
-
-    def sign(h: Column, d: Column) -> Column:
-        digit = F.instr(F.lit(_HEX), F.substring(h, F.floor(d / 4).cast("int") + 1, F.lit(1))) - 1
-        return 1 - 2 * (F.floor(digit / F.pow(F.lit(2), 3 - d % 4)).cast("int") % 2)
-
-    rows = df.withColumn("_weights", weights).withColumn("_tokens", F.transform(_words(F.col(model.text)), token))
-    add = lambda a, x: a + x
-    total = F.aggregate(F.transform("_tokens", lambda t: t.f), F.lit(0.0), add)
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(model.size - 1)),
-        lambda d: F.aggregate(F.transform("_tokens", lambda t: t.f * sign(t.h, d)), F.lit(0.0), add)
-        / F.greatest(F.col("_total"), F.lit(COUNT_FLOOR)),
-    )
-    return rows.withColumn("_total", total).withColumn(output, vector).drop("_weights", "_tokens", "_total")
+    # 4096 numbers.
+    weights = np.array(model.weights.select("weights").first()[0], dtype=float)
+    size, seed, blocks = model.size, model.seed, -(-model.size // _BITS)
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        signs = _TokenSigns(weights, size, seed, blocks)
+        for texts in batches:
+            places, distinct = pd.factorize(texts)
+            vectors = list(signs.vectors(list(distinct)))
+            yield pd.Series([vectors[i] for i in places], index=texts.index, dtype=object)
+
+    # As bytes, which are hashed and cut as they are.
+    text = F.coalesce(F.col(model.text), F.lit("")).cast("binary")
+    return df.withColumn(output, embed(text))
+
+
+class _TokenSigns:
+    """Weighed signs of tokens, kept for the next messages in a table that starts anew when it is full."""
+
+    def __init__(self, weights: np.ndarray, size: int, seed: int, blocks: int):
+        self._weights, self._size, self._seed, self._blocks = weights, size, seed, blocks
+        self._reset()
+
+    def _reset(self) -> None:
+        self._codes: dict[bytes, int] = {}
+        # The last column is the weight itself, so that the total is summed with the rest.
+        self._table = np.zeros((1024, self._size + 1))
+
+    def _code(self, token: bytes) -> int:
+        code = self._codes.get(token)
+        if code is None:
+            code = self._codes[token] = len(self._codes)
+            if code == len(self._table):
+                self._table = np.concatenate((self._table, np.zeros_like(self._table)))
+            weight = self._weights[int(hashlib.md5(token).hexdigest()[:BUCKET_DIGITS], 16)]
+            digest = b"".join(hashlib.md5(b"%d:%d:" % (self._seed, k) + token).digest() for k in range(self._blocks))
+            bits = np.unpackbits(np.frombuffer(digest, np.uint8))[: self._size]
+            self._table[code, :-1] = weight * (1.0 - 2.0 * bits)
+            self._table[code, -1] = weight
+        return code
+
+    def vectors(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The vector of each text, some texts at a time, so that their tokens' signs stay few."""
+        ends = np.cumsum([len(t) for t in texts])
+        first = 0
+        while first < len(texts):
+            done = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + _BYTES_AT_ONCE, "right")))
+            yield from self._some(texts[first:last])
+            first = last
+
+    def _some(self, texts: list[bytes]) -> np.ndarray:
+        tokens = [[w for w in _SPACES.split(t) if w] for t in texts]
+        # Texts by falling length: those with a token at a place are always the first ones.
+        order = sorted(range(len(tokens)), key=lambda i: -len(tokens[i]))
+        lengths = np.array([len(tokens[i]) for i in order])
+        sums = np.zeros((len(texts), self._size + 1))
+        for place in range(int(lengths[0])):
+            if len(self._codes) > _KEPT_TOKENS:
+                self._reset()
+            holders = order[: int(np.searchsorted(-lengths, -place))]
+            codes = [self._code(tokens[i][place]) for i in holders]
+            sums[holders] += self._table[codes]
+        return sums[:, :-1] / np.maximum(sums[:, -1:], COUNT_FLOOR)
 
 
 def pool_tokens(rows: DataFrame, *keys: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Classifier, embedding, mixture and the jobs around them."""
 
+import hashlib
+import re
 import sys
 
 import numpy as np
@@ -58,6 +60,32 @@ def test_noise_tolerant_loss_does_not_rise(labelled, model):
         classify.train_severity(labelled, loss="other")
 
 
+def test_embedding_by_the_plain_definition(spark, monkeypatch):
+    texts = ["node <NUM> failed", None, "", " \t ", "a a\u00a0b \u00e9 a", "x\ny  z ", "w" * 9, *[" ".join(f"t{j}" for j in range(i)) for i in range(40)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "id int, message string")
+    model = embed.fit_embedder(df, size=130)
+    weights = model.weights.first()[0]
+
+    def plain(text):
+        total, sums = 0.0, [0.0] * 130
+        for w in re.split("[ \t\n\x0b\f\r]+", text or ""):
+            if w:
+                f = weights[int(hashlib.md5(w.encode()).hexdigest()[:3], 16)]
+                h = "".join(hashlib.md5(f"94:{k}:{w}".encode()).hexdigest() for k in range(2))
+                bits = bin(int(h, 16))[2:].zfill(256)
+                total, sums = total + f, [s + f * (1 - 2 * int(b)) for s, b in zip(sums, bits)]
+        return [s / max(total, 1e-9) for s in sums]
+
+    got = [r.embedding for r in embed.embed_messages(model, df).orderBy("id").collect()]
+    assert got == [plain(t) for t in texts * 2]
+    # Neither a small table of signs nor few bytes at a time change a vector, and the table stays small.
+    monkeypatch.setattr(embed, "_KEPT_TOKENS", 8)
+    monkeypatch.setattr(embed, "_BYTES_AT_ONCE", 30)
+    signs = embed._TokenSigns(np.array(weights), 130, 94, 2)
+    assert [v.tolist() for v in signs.vectors([(t or "").encode() for t in texts])] == got[: len(texts)]
+    assert len(signs._codes) <= 8 + len(texts)
+
+
 def test_external_model_gets_texts_only(spark):
     rows = spark.createDataFrame([(1, "abc", None, b"x"), (2, "abcdef", 7, None)], "id int, message string, n long, raw binary")
     got = classify.external_scorer(by_length)(rows)
