@@ -21,11 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from logrung.session import landed
+
 # Job defaults.
 N_CLUSTERS = 2
 SEED = 94
 RESTARTS = 5
 VARIANCE_FLOOR = 1e-6
+#: Up to this many vectors are fitted one by one; of more, equal ones together, one of so many parts of all at most.
+FIT_PARTS = 1 << 20
+#: Vectors of a task that fits.
+FIT_TASK_ROWS = 1 << 17
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -135,9 +141,11 @@ def _pass(rows: DataFrame, models: list[Mixture]) -> list[tuple[np.ndarray, np.n
             if batch.empty:
                 continue
             x = _matrix(batch)
+            rows_of = batch["w"].to_numpy(dtype=float)[:, None]
             blocks = []
             for model in models:
                 r, log_r = model.responsibilities(x)
+                r = r * rows_of
                 entropy = float((r * log_r).sum())
                 blocks.append(
                     np.concatenate([r.sum(axis=0), (r.T @ x).ravel(), (r.T @ x**2).ravel(), [entropy]])
@@ -176,9 +184,10 @@ def _starts(rows: DataFrame, prior: _Prior, k: int, seed: int, restarts: int) ->
     vectors = rows.withColumn("features", array_to_vector(F.col("x")))
     starts = []
     for i in range(restarts):
-        fitted = KMeans(k=k, seed=seed + i, maxIter=3, initSteps=2).fit(vectors)
+        fitted = KMeans(k=k, seed=seed + i, maxIter=3, initSteps=2, weightCol="w").fit(vectors)
         centres = np.stack(fitted.clusterCenters())
-        sizes = np.array(fitted.summary.clusterSizes, dtype=float)
+        held = dict(fitted.transform(vectors).groupBy("prediction").agg(F.sum("w")).collect())
+        sizes = np.array([held.get(c, 0.0) for c in range(len(centres))])
         if len(centres) < k:
             # Fewer distinct points than components: the rest start empty.
             centres = np.vstack([centres, np.tile(prior.mean, (k - len(centres), 1))])
@@ -190,6 +199,38 @@ def _starts(rows: DataFrame, prior: _Prior, k: int, seed: int, restarts: int) ->
     return starts
 
 
+def _fit_rows(vectors: DataFrame, parts: int) -> DataFrame:
+    """(x, w): vectors and the number of rows that each stands for, at most one of ``parts`` of all.
+
+    Small files can hold very many vectors if few of them differ, so tasks
+    are cut by the number of vectors and not by the size of files.
+    """
+    size = -(-vectors.count() // parts)
+    if size <= 1:
+        return vectors.withColumn("w", F.lit(1.0))
+    counted = landed(vectors.groupBy("x").agg(F.count("*").alias("n")), "mixture-vectors")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size).cast("long"))
+    apart = counted.withColumn("start", F.explode(starts)).select(
+        "x", F.least(F.lit(size), F.col("n") - F.col("start")).cast("double").alias("w")
+    )
+    tasks = -(-(counted.count() + parts) // FIT_TASK_ROWS)
+    return apart.repartition(max(tasks, vectors.sparkSession.sparkContext.defaultParallelism))
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample variance of each dimension; two passes, so that no digits cancel."""
+    flat = rows.select("w", F.posexplode("x").alias("dim", "value"))
+    sums = flat.groupBy("dim").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("value")).alias("s"))
+    first = sums.orderBy("dim").toPandas()
+    total, mean = first["n"].to_numpy(dtype=float), (first["s"] / first["n"]).to_numpy(dtype=float)
+    middle = F.element_at(F.array(*[F.lit(float(m)) for m in mean]), F.col("dim") + 1)
+    square = F.col("w") * (F.col("value") - middle) * (F.col("value") - middle)
+    second = flat.groupBy("dim").agg(F.sum(square).alias("s")).orderBy("dim").toPandas()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        variance = np.where(total > 1, second["s"].to_numpy(dtype=float) / (total - 1), 0.0)
+    return mean, np.nan_to_num(variance)
+
+
 def fit_mixture(
     df: DataFrame,
     vector: str = "reduced",
@@ -198,17 +239,16 @@ def fit_mixture(
     restarts: int = RESTARTS,
     max_iter: int = 100,
     tol: float = 1e-3,
+    parts: int = FIT_PARTS,
 ) -> Mixture:
-    """Fit and return the restart with the highest bound."""
-    rows = df.select(F.col(vector).cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    """Fit and return the restart with the highest bound; of many rows, equal ones are counted and fitted together."""
+    vectors = df.select(F.col(vector).cast("array<double>").alias("x"))
+    rows = _fit_rows(vectors, parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         width = len(rows.first()["x"])
-        dims = rows.select(F.posexplode("x").alias("dim", "value")).groupBy("dim").agg(
-            F.avg("value").alias("mean"), F.var_samp("value").alias("variance")
-        )
-        stats = dims.orderBy("dim").toPandas()
-        variance = np.nan_to_num(stats["variance"].to_numpy(dtype=float)) + VARIANCE_FLOOR
-        prior = _Prior(1.0 / n_components, stats["mean"].to_numpy(), float(width), variance)
+        mean, variance = _moments(rows)
+        variance = variance + VARIANCE_FLOOR
+        prior = _Prior(1.0 / n_components, mean, float(width), variance)
         models = _starts(rows, prior, n_components, seed, restarts)
         active = list(range(restarts))
         for step in range(1, max_iter + 1):

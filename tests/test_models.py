@@ -246,6 +246,23 @@ def test_mixture_finds_the_groups_and_drops_spare_components(spark):
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
 
 
+def test_equal_vectors_are_fitted_together(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(20, 2)) + c for c in ([0, 0], [15, 0], [0, 15])])
+    df = spark.createDataFrame(pd.DataFrame({"i": range(60), "reduced": x.tolist()}))
+    many = df.crossJoin(spark.range(40)).coalesce(1)
+    held = mixture._fit_rows(many.select(F.col("reduced").alias("x")), 600)
+    assert held.agg(F.sum("w"), F.count("*"), F.max("w")).first()[:] == (2400.0, 600, 4.0)
+    # One file of very many vectors is no longer one task.
+    assert held.rdd.getNumPartitions() > 1
+    together, single = (mixture.fit_mixture(many, n_components=3, restarts=2, parts=p) for p in (600, 1 << 20))
+    by_place = lambda m: np.array(sorted(m.means.tolist()))
+    assert np.allclose(by_place(together), by_place(single), atol=1e-3) and abs(together.bound - single.bound) < 0.1
+    mean, variance = mixture._moments(held)
+    rows = np.repeat(x, 40, axis=0)
+    assert np.allclose(mean, rows.mean(axis=0)) and np.allclose(variance, rows.var(axis=0, ddof=1))
+
+
 def test_cluster_reports(spark):
     rows = [(0, 0, "INFO", "a"), (1, 0, "WARN", "b"), (2, 0, "WARN", "c"), (3, 0, "INFO", "d"), (4, 1, "ERROR", "e")]
     df = spark.createDataFrame(rows, "row_id long, cluster int, level string, message string")
