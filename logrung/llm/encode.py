@@ -278,7 +278,10 @@ def encoder_of(path: str, spaces_kept: bool) -> WordEncoder:
     """The encoder of this worker process."""
     key = (path, spaces_kept)
     if key not in _ENCODERS:
+        # Another operator's tasks may have left memory free but held, and loading leaves some of its own.
+        give_back_memory()
         _ENCODERS[key] = WordEncoder(path, spaces_kept)
+        give_back_memory()
     return _ENCODERS[key]
 
 
@@ -286,10 +289,15 @@ def free_encoders() -> None:
     """Drop the encoders of this worker process, which Spark may have kept from another operator's tasks."""
     if _ENCODERS:
         _ENCODERS.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            # Not every C library can give memory back.
-            pass
+        give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Return what this worker process has freed to the system, as far as it can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Not every C library can give memory back.
+        pass

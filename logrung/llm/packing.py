@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logrung.llm.encode import TEXT_AT_ONCE, encoder_of
+from logrung.llm.encode import encoder_of
 from logrung.llm.words import text_slices
 from logrung.session import landed
 
 CAPACITY = 2048
 #: Pieces packed together by one task. More groups cost at most a few part-filled sequences each.
 PIECES_PER_GROUP = 16_384
+#: Bytes of text encoded at a time, a longer text alone: two megabytes took 57 MB more of a worker's memory.
+TEXT_AT_ONCE = 1 << 19
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
