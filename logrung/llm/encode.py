@@ -6,6 +6,8 @@ import ctypes
 import gc
 import os
 import re
+from collections.abc import Callable, Iterator
+from functools import wraps
 from itertools import chain
 
 import numpy as np
@@ -292,9 +294,25 @@ def free_encoders() -> None:
         give_back_memory()
 
 
-def give_back_memory() -> None:
-    """Return what this worker process has freed to the system, as far as it can."""
-    gc.collect()
+def giving_back(work: Callable) -> Callable:
+    """A task's function over batches that returns freed memory to the system at its end.
+
+    Spark keeps idle worker processes for later tasks, also of other operators,
+    and what they hold but do not use counts against those.
+    """
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back_memory(cycles=False)
+
+    return run
+
+
+def give_back_memory(cycles: bool = True) -> None:
+    """Return what this worker process has freed to the system, as far as it can; ``cycles`` are collected first."""
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

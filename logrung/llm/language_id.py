@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logrung.llm.draws import RANGE, draw, share
-from logrung.llm.encode import free_encoders
+from logrung.llm.encode import free_encoders, give_back_memory, giving_back
 from logrung.llm.files import attempt_name, open_for_reading, open_for_writing, shared_folder
 from logrung.llm.text_stats import fold_of
 from logrung.llm.words import mix64, text_slices
@@ -219,6 +219,7 @@ def _load(path: str) -> tuple[list[str], list[KneserNey]]:
 def _gram_counts(rows: DataFrame) -> DataFrame:
     """(lang, key, n): 4-gram counts of all given texts, summed in each task's batches before the shuffle."""
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
@@ -336,6 +337,7 @@ def _calibrate(models: dict[str, KneserNey], texts: DataFrame, path: str, unsure
     cross-entropy of the others; LEAST_LIMIT and its own where there is no other.
     """
 
+    @giving_back
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = dict(zip(*_load(path), strict=True))
         for batch in batches:
@@ -389,6 +391,7 @@ def predictor(path: str):
         free_encoders()
         langs, models = _load(path)
         found, sizes = _entropies(texts, models)
+        give_back_memory(cycles=False)
         n = len(sizes)
         if not langs:
             blank = [UNKNOWN] * n

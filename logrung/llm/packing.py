@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logrung.llm.encode import encoder_of
+from logrung.llm.encode import encoder_of, giving_back
 from logrung.llm.words import text_slices
 from logrung.session import landed
 
@@ -93,6 +93,7 @@ def token_pieces(
     id. Repeated rows give repeated pieces. Row-local, no shuffle.
     """
 
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, spaces_kept)
         for batch in batches:

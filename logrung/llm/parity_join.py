@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logrung.llm.components import components
-from logrung.llm.encode import free_encoders
+from logrung.llm.encode import free_encoders, giving_back
 from logrung.llm.words import mix64, shingle_set, text_slices, words_of
 from logrung.session import landed
 
@@ -144,6 +144,7 @@ def shingle_nodes(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
     only the first carries sketches.
     """
 
+    @giving_back
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_encoders()
         for batch in batches:
@@ -189,6 +190,7 @@ def part_entries(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
             names=["key", "node", "hub"],
         )
 
+    @giving_back
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_encoders()
         for batch in batches:
@@ -222,6 +224,7 @@ def bucket_stars(entries: DataFrame) -> DataFrame:
     of a key then stream past in order, and each is tied to the first.
     """
 
+    @giving_back
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_hub = None, 0
         for batch in batches:
@@ -259,6 +262,7 @@ def bucket_stars(entries: DataFrame) -> DataFrame:
 def set_bodies(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """(node, hashes): the written sets of ``members`` (node), each from one of its texts."""
 
+    @giving_back
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
@@ -316,6 +320,7 @@ def near_pairs(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataF
 def verified(pairs: DataFrame, bodies: DataFrame, limit: Threshold) -> DataFrame:
     """(a, b, linked) for distinct pairs, by their exact sets."""
 
+    @giving_back
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logrung.llm.draws import draw, share
+from logrung.llm.encode import give_back_memory
 from logrung.llm.words import text_slices, window_hashes, words_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -135,6 +136,7 @@ STATS_TYPE = T.StructType(
 def text_stats(texts: pa.Array) -> pa.Array:
     """A struct of all statistics of each text."""
     found = statistics(texts)
+    give_back_memory(cycles=False)
     return pa.StructArray.from_arrays([pa.array(found[name]) for name in STATS], names=list(STATS))
 
 

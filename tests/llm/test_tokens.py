@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logrung.llm import token_store
-from logrung.llm.encode import WordEncoder
+from logrung.llm.encode import WordEncoder, giving_back
 from logrung.llm.packing import OpenBins, best_fit_decreasing, pack, token_pieces
 from logrung.llm.queries import op1_token_output, op10_best_fit_packing
 from logrung.llm.token_store import TokenFile, read_documents, write_tokens
@@ -189,3 +189,21 @@ def test_packing_edge_rows_and_groups(spark):
 def test_two_byte_ids_only_where_they_fit():
     assert token_store.SEQUENCE == 2048
     assert WordEncoder(BYTE, True).n_ids <= 1 << 16
+
+
+def test_a_task_gives_back_what_it_freed():
+    def held():
+        text = open("/proc/self/smaps_rollup").read()
+        return sum(int(x.split()[1]) for x in text.splitlines() if x.startswith("Pss_Anon")) / 1024
+
+    def work(batches):
+        for batch in batches:
+            # Blocks too small to be mapped on their own, the last one above all others.
+            blocks = [np.ones(8_000) for _ in range(4_000)]
+            kept.append(blocks[-1])
+            del blocks
+            yield batch
+
+    kept, before = [], held()
+    assert list(giving_back(work)(iter("ab"))) == ["a", "b"]
+    assert held() - before < 100
