@@ -1,5 +1,6 @@
 """Token files and packing against whole-text encoding and brute force."""
 
+import itertools
 import random
 import zlib
 
@@ -207,3 +208,15 @@ def test_a_task_gives_back_what_it_freed():
     kept, before = [], held()
     assert list(giving_back(work)(iter("ab"))) == ["a", "b"]
     assert held() - before < 100
+
+
+@pytest.mark.parametrize(("path", "kept"), [(BYTE, True), (WORD, False)])
+def test_words_and_the_marks_behind_them_are_kept_apart(path, kept):
+    words = ["".join(x) for x in itertools.product("abéß", "oun", "rst", "xyz")]
+    marks = ["", ".", ",", "!?", "...", ")"]
+    texts = [" ".join(w + m for w in words) for m in marks]
+    encoder = WordEncoder(path, kept)
+    ids, counts = encoder.encode(texts)
+    ends = np.cumsum(counts)
+    assert [ids[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)] == _whole(path, texts)
+    assert len(encoder._codes) <= len(words) + 2 * len(marks)
