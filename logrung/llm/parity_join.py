@@ -275,7 +275,7 @@ def set_bodies(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int
                 )
 
     chosen = nodes.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = landed(chosen.select(F.col("doc_id").alias("chosen_id")).distinct(), "chosen-ids")
+    ids = landed(chosen.select(F.col("doc_id").alias("chosen_id")), "chosen-ids")
     some = _with_text(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
     raw = landed(some.mapInArrow(build, "node long, hashes binary").join(members, "node", "left_semi"), "bodies")
     # Rows that repeat an id may give a set again, from another task. Only those are grouped with their contents.
@@ -367,7 +367,7 @@ def _sketch_rows(bits: pa.ChunkedArray) -> np.ndarray:
 
 
 def _compare_blocks(limit: Threshold, forests: int):
-    """A function of the rows of one (key, block, block) group: pairs that may link across components.
+    """A function of the rows of one (key, block, block) group: its key and the pairs that may link across components.
 
     Rows of side 2 are pairs (node, label) of nodes that are known not to link.
     All that is held are arrays of a block's size.
@@ -376,7 +376,7 @@ def _compare_blocks(limit: Threshold, forests: int):
     def compare(rows: pa.Table) -> pa.Table:
         failed = rows.filter(pc.equal(rows["side"], 2))
         rows = rows.filter(pc.less(rows["side"], 2))
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        none = pa.table({x: pa.array([], pa.int64()) for x in ("key", "a", "b")})
         if not rows.num_rows:
             return none
         side = rows["side"].to_numpy()
@@ -425,7 +425,7 @@ def _compare_blocks(limit: Threshold, forests: int):
             left[tree] = False
             i, j = i[left], j[left]
         a, b = np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        return pa.table({"key": pa.repeat(rows["key"][0], len(a)), "a": pa.array(a), "b": pa.array(b)})
 
     return compare
 
@@ -454,23 +454,21 @@ def open_buckets(stars: DataFrame) -> DataFrame:
     return members.join(kept.select("key"), "key", "left_semi")
 
 
-def cross_pairs(
-    members: DataFrame, labels: DataFrame, sketches: DataFrame, failed: DataFrame, limit: Threshold, forests: int
-) -> DataFrame:
-    """(a, b) of one bucket, two components, and a sketch distance that allows a link.
+def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The written members (key, node) of buckets in two or more components, each with its label and block numbers.
 
-    In each bucket the members outside its largest component are compared with
-    all members, in blocks, by Hamming distance. A bucket of one component
-    needs nothing.
+    Components only grow, so a bucket of one component needs nothing any more.
     """
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = landed(
+        members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"
+    )
     counts = labelled.groupBy("key", "label").agg(F.count("*").alias("k"))
     split = (
         counts.groupBy("key")
         .agg(F.max_by("label", F.struct("k", "label")).alias("big"), F.sum("k").alias("all"), F.max("k").alias("most"))
         .where("all > most")
     )
-    open_ = (
+    return landed(
         labelled.join(split, "key")
         .withColumn("band", F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)"))
         .withColumn("rows", block_rows(F.col("band")))
@@ -479,7 +477,18 @@ def cross_pairs(
         .withColumn("own", F.xxhash64("node"))
         .withColumn("i", F.pmod("own", F.col("few")).cast("int"))
         .withColumn("j", F.pmod("own", F.col("many")).cast("int"))
+        .select("key", "node", "label", "big", "band", "few", "many", "i", "j"),
+        "still-open",
     )
+
+
+def cross_pairs(open_: DataFrame, sketches: DataFrame, failed: DataFrame, limit: Threshold, forests: int) -> DataFrame:
+    """The written (key, a, b) of one bucket, two components, and a sketch distance that allows a link.
+
+    In each bucket of ``still_open`` the members outside its largest component
+    are compared with all members, in blocks, by Hamming distance. A bucket
+    with any such pair that is not known to fail gives at least one.
+    """
     outside = open_.where("label <> big")
     many = open_.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), "j", "node", "label", "band", F.lit(1).alias("side")
@@ -490,22 +499,43 @@ def cross_pairs(
     rows = few.unionByName(many).join(sketches, ["node", "band"]).select("key", "i", "j", "node", "label", "side", "n", "bits")
     both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # Failed pairs go to the one block of a bucket where their nodes meet.
-    known = (
+    known = landed(
         outside.select("key", "i", F.col("node").alias("a"))
         .join(both, "a")
         .join(open_.select("key", "j", F.col("node").alias("b")), ["key", "b"])
         .select(
             "key", "i", "j", F.col("a").alias("node"), F.col("b").alias("label"), F.lit(2).alias("side"),
             F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("bits"),
-        )
+        ),
+        "known-apart",
+    )
+    compare = _compare_blocks(limit, forests)
+    return landed(
+        rows.unionByName(known).groupBy("key", "i", "j").applyInArrow(compare, "key long, a long, b long"), "crossing"
     )
-    return rows.unionByName(known).groupBy("key", "i", "j").applyInArrow(_compare_blocks(limit, forests), "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The written nodes of the pairs (a, b)."""
+    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    return landed(both.distinct(), "ends")
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after the links (a, b), which join components: only labels are joined anew."""
+    first = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    second = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    joined = links.join(first, "a", "left").join(second, "b", "left")
+    moved = landed(components(joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))), "moved")
+    tops = moved.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = labels.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return landed(old.unionByName(moved.join(labels, "node", "left_anti").select("node", "label")), "labels")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id, node, label) for each row: components of links with Jaccard >= num / den.
 
@@ -539,27 +569,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
         F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)").alias("band"),
     )
     near = landed(near_pairs(tied, sketches, limit), "near")
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    bodies = set_bodies(docs, nodes, ends, words)
+    bodies = set_bodies(docs, nodes, _ends(near), words)
     judged = landed(verified(near, bodies, limit), "judged")
     labels = landed(components(judged.where("linked")), "labels")
     members = landed(open_buckets(stars), "open-buckets")
     forests = 1
     while True:
+        # Written step by step: one query of all this would run dozens of stages at once, and the driver hold them.
+        members = still_open(members.select("key", "node"), labels)
+        if members.isEmpty():
+            break
         failed = judged.where("not linked").select("a", "b")
-        found = landed(
-            _ordered(cross_pairs(members, labels, sketches, failed, limit, forests)).distinct(), "crossing"
-        )
-        if found.isEmpty():
+        crossing = cross_pairs(members, sketches, failed, limit, forests)
+        if crossing.isEmpty():
             break
-        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-        more = landed(verified(found, set_bodies(docs, nodes, ends, words), limit), "judged")
+        found = landed(_ordered(crossing).distinct(), "found")
+        more = landed(verified(found, set_bodies(docs, nodes, _ends(found), words), limit), "judged")
         judged = judged.unionByName(more)
-        merged = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = landed(components(merged.unionByName(more.where("linked").select("a", "b"))), "labels")
+        labels = relabelled(labels, more.where("linked").select("a", "b"))
         if more.where("not linked").isEmpty():
             # The forest held, so no two components of a bucket are near each other any more.
             break
+        # Components only grow and failures stay, so a bucket without a pair has none later.
+        members = members.join(crossing.select("key").distinct(), "key", "left_semi")
         forests *= 4
     own = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))
     placed = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

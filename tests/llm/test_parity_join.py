@@ -93,6 +93,34 @@ def test_small_blocks_and_one_large_group(spark, monkeypatch):
     assert _found(spark, rows, words=3, num=90, den=100) == _slow(rows, 3, 90, 100)
 
 
+def test_rounds_are_small_queries_over_buckets_with_open_pairs(spark, monkeypatch, capsys):
+    exchanges, open_keys, plain = [], [], parity_join.landed
+
+    def watched(df, label):
+        capsys.readouterr()
+        df.explain()
+        exchanges.append((capsys.readouterr().out.count("Exchange "), label))
+        out = plain(df, label)
+        if label == "still-open":
+            open_keys.append(out.select("key").distinct().count())
+        return out
+
+    monkeypatch.setattr(parity_join, "landed", watched)
+    monkeypatch.setattr(parity_join, "BLOCK", 8)
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        own = [f"w{k}" for k in range(120)]
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"x{i}y{rng.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    assert _found(spark, rows, words=3, num=90, den=100) == _slow(rows, 3, 90, 100)
+    # The driver holds every stage of a query at once: before, one query of 30 exchanges compared the buckets.
+    assert max(exchanges)[0] <= 16, max(exchanges)
+    assert len(open_keys) > 1
+    assert open_keys[-1] < open_keys[0]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i % 7000}" for i in range(21_000))
     rows = [
