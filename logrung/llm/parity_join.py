@@ -290,7 +290,11 @@ def set_bodies(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int
 
 
 def near_pairs(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataFrame:
-    """(a, b, distance) of the distinct pairs (a, b, band) whose sketches allow a link."""
+    """(a, b) of the distinct pairs (a, b, band) whose sketches allow a link.
+
+    The distance stands in the filter only: as a column too it would be worked
+    out twice, by two Python workers for each task, which Spark then keeps.
+    """
 
     @F.arrow_udf("int")
     def distance(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -311,9 +315,8 @@ def near_pairs(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataF
         .join(left, ["a", "band"])
         .join(right, ["b", "band"])
         .where(limit.den * F.least("nx", "ny") >= limit.num * F.greatest("nx", "ny"))
-        .select("a", "b", distance("x", "y").alias("distance"), most.alias("most"))
-        .where("distance <= most")
-        .select("a", "b", "distance")
+        .where(distance("x", "y") <= most)
+        .select("a", "b")
     )
 
 

@@ -94,12 +94,14 @@ def test_small_blocks_and_one_large_group(spark, monkeypatch):
 
 
 def test_rounds_are_small_queries_over_buckets_with_open_pairs(spark, monkeypatch, capsys):
-    exchanges, open_keys, plain = [], [], parity_join.landed
+    exchanges, udfs, open_keys, plain = [], [], [], parity_join.landed
 
     def watched(df, label):
         capsys.readouterr()
         df.explain()
-        exchanges.append((capsys.readouterr().out.count("Exchange "), label))
+        plan = capsys.readouterr().out
+        exchanges.append((plan.count("Exchange "), label))
+        udfs.append((plan.count("ArrowEvalPython"), label))
         out = plain(df, label)
         if label == "still-open":
             open_keys.append(out.select("key").distinct().count())
@@ -117,6 +119,7 @@ def test_rounds_are_small_queries_over_buckets_with_open_pairs(spark, monkeypatc
     assert _found(spark, rows, words=3, num=90, den=100) == _slow(rows, 3, 90, 100)
     # The driver holds every stage of a query at once: before, one query of 30 exchanges compared the buckets.
     assert max(exchanges)[0] <= 16, max(exchanges)
+    assert max(udfs) == (1, "near")
     assert len(open_keys) > 1
     assert open_keys[-1] < open_keys[0]
 
