@@ -12,7 +12,10 @@ parts share one of the emitted keys.
 
 Candidates are exact sets compared once. Groups of thousands of similar texts
 are joined by stars and contracted before anything is compared in blocks, so no
-group is expanded into all pairs.
+group is expanded into all pairs. A bucket of more sets than a block holds, such
+as the texts around one shared passage, is given up if its sets do not all link:
+they are keyed again, rarest keys first, and meet only where a link leaves them
+no rarer key to share.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrung.llm.components import components
@@ -37,6 +40,10 @@ BLOCK = 512
 BLOCK_BYTES = 4 << 20
 #: Keys that a task holds before it sends them.
 KEYS_AT_ONCE = 1 << 18
+#: Sets of large buckets are keyed again by keys of at most so many of these sets first, then by rising number of sets.
+RARE_KEY = 16
+#: Keeps these keys apart from the first ones; the low bits, which hold the band, are zero.
+_AGAIN = np.uint64(0xA24BAED4963EE400)
 _BAND_BITS = 8
 _ROUND = np.uint64(0x9FB21C651E98DF25)
 
@@ -85,28 +92,36 @@ def bands_of(n: int, limit: Threshold, ratio: int = 3) -> list[Band]:
     return found
 
 
+def keys_needed(n: int, band: Band, limit: Threshold) -> int:
+    """How many keys a set of ``n`` emits, the first ones in any common order; 0 if it links with its copies only."""
+    allowed = int(limit.most_different(n + min(limit.largest(n), band.high)))
+    return allowed + 1 if allowed else 0
+
+
 def part_keys(hashes: np.ndarray, band: Band, limit: Threshold) -> np.ndarray:
-    """The emitted keys of a sorted set in a band; the band's number is in the low bits.
+    """The emitted keys of a sorted set in a band; the band's number is in the low bits."""
+    needed = keys_needed(len(hashes), band, limit)
+    return fullest_keys(hashes, band, needed)[0] if needed else np.zeros(0, np.uint64)
+
+
+def fullest_keys(hashes: np.ndarray, band: Band, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``most`` keys of a sorted set in a band, and the numbers of shingles in their parts.
 
     Parts are ranges of the hash, so those of a sorted set are runs. The order
     of keys is by shingles in the part, fullest first, then by part; it depends
     on the key alone. Empty parts come last and are emitted only where a set
     has too few others.
     """
-    n = len(hashes)
-    allowed = int(limit.most_different(n + min(limit.largest(n), band.high)))
-    if allowed == 0:
-        return np.zeros(0, np.uint64)
     part = ((hashes >> np.uint64(32)) * np.uint64(band.parts)) >> np.uint64(32)
     full, begin, count = np.unique(part, return_index=True, return_counts=True)
     parity = np.zeros(band.parts, np.uint64)
     parity[full] = np.bitwise_xor.reduceat(mix64(hashes * _ROUND), begin)
     held = np.zeros(band.parts, np.int64)
     held[full] = count
-    chosen = np.argsort(-held, kind="stable")[: allowed + 1]
+    chosen = np.argsort(-held, kind="stable")[:most]
     salt = mix64(np.array([band.number + 1], np.uint64) * _ROUND + chosen.astype(np.uint64))
     keys = mix64(parity[chosen] ^ salt)
-    return (keys >> np.uint64(_BAND_BITS) << np.uint64(_BAND_BITS)) | np.uint64(band.number)
+    return (keys >> np.uint64(_BAND_BITS) << np.uint64(_BAND_BITS)) | np.uint64(band.number), held[chosen]
 
 
 def bit_sketch(hashes: np.ndarray, band: Band) -> bytes:
@@ -169,6 +184,19 @@ def shingle_nodes(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
     return _with_text(docs).mapInArrow(number, schema)
 
 
+def _tied(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """(key, node, hub): the first node of each key has no hub, the others point to it."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    hub = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key.view(np.int64)), pa.array(node), pa.array(hub, mask=first)],
+        names=["key", "node", "hub"],
+    )
+
+
 def part_entries(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
     """(key, node, hub): a row for each emitted part key, copies in a batch of rows once.
 
@@ -178,18 +206,6 @@ def part_entries(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
     for each part, not one for each set.
     """
 
-    def tied(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        hub = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(node), pa.array(hub, mask=first)],
-            names=["key", "node", "hub"],
-        )
-
     @giving_back
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_encoders()
@@ -209,14 +225,67 @@ def part_entries(docs: DataFrame, words: int, limit: Threshold) -> DataFrame:
                     nodes.append(np.full(len(own), node, np.int64))
                     held += len(own)
                 if held >= KEYS_AT_ONCE:
-                    yield tied(keys, nodes)
+                    yield _tied(np.concatenate(keys), np.concatenate(nodes))
                     keys, nodes, held = [], [], 0
             if keys:
-                yield tied(keys, nodes)
+                yield _tied(np.concatenate(keys), np.concatenate(nodes))
 
     return _with_text(docs).select("text").mapInArrow(emit, "key long, node long, hub long")
 
 
+def rarest_entries(bodies: DataFrame, limit: Threshold) -> DataFrame:
+    """(key, node, hub) as ``part_entries``, for the sets (node, hashes) given, with the rarest keys first.
+
+    The keys of all parts are counted over these sets. What very many of them
+    share comes last in the common order, so a set emits it only if it has too
+    little of its own: then it is near the threshold to whatever shares the rest.
+    """
+
+    @giving_back
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x)) for x in (keys, nodes, helds, needs)], names=["key", "node", "held", "need"]
+            )
+
+        keys, nodes, helds, needs, total = [], [], [], [], 0
+        for batch in batches:
+            for node, body in zip(batch.column("node").to_pylist(), batch.column("hashes"), strict=True):
+                s = np.frombuffer(body.as_buffer(), np.uint64)
+                for band in bands_of(len(s), limit):
+                    need = keys_needed(len(s), band, limit)
+                    if not need:
+                        continue
+                    key, held = fullest_keys(s, band, band.parts)
+                    keys.append((key ^ _AGAIN).view(np.int64))
+                    nodes.append(np.full(len(key), node, np.int64))
+                    helds.append(held.astype(np.int32))
+                    needs.append(np.full(len(key), need, np.int32))
+                    total += len(key)
+                if total >= KEYS_AT_ONCE:
+                    yield made()
+                    keys, nodes, helds, needs, total = [], [], [], [], 0
+        if keys:
+            yield made()
+
+    @giving_back
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _tied(batch.column("key").to_numpy(), batch.column("node").to_numpy())
+
+    rows = landed(bodies.select("node", "hashes").mapInArrow(every, "key long, node long, held int, need int"), "all-keys")
+    common = landed(rows.groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > RARE_KEY), "common-keys")
+    of_set = Window.partitionBy("node", F.col("key").bitwiseAND((1 << _BAND_BITS) - 1))
+    order = of_set.orderBy(F.coalesce("sets", F.lit(0)), F.desc("held"), "key")
+    return (
+        rows.join(common, "key", "left")
+        .withColumn("place", F.row_number().over(order))
+        .where("place <= need")
+        .select("key", "node")
+        .mapInArrow(tie, "key long, node long, hub long")
+    )
+
+
 def bucket_stars(entries: DataFrame) -> DataFrame:
     """(key, hub, node) for the members of every key that two or more sets share.
 
@@ -289,6 +358,15 @@ def set_bodies(docs: DataFrame, nodes: DataFrame, members: DataFrame, words: int
     )
 
 
+def star_pairs(stars: DataFrame) -> DataFrame:
+    """(a, b, band): each member of a bucket with its first one."""
+    return stars.select(
+        F.least("hub", "node").alias("a"),
+        F.greatest("hub", "node").alias("b"),
+        F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)").alias("band"),
+    )
+
+
 def near_pairs(pairs: DataFrame, sketches: DataFrame, limit: Threshold) -> DataFrame:
     """(a, b) of the distinct pairs (a, b, band) whose sketches allow a link.
 
@@ -566,22 +644,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
         .select("node", "n", "s.band", "s.bits"),
         "sketches",
     )
-    tied = stars.select(
-        F.least("hub", "node").alias("a"),
-        F.greatest("hub", "node").alias("b"),
-        F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)").alias("band"),
-    )
-    near = landed(near_pairs(tied, sketches, limit), "near")
+    near = landed(near_pairs(star_pairs(stars), sketches, limit), "near")
     bodies = set_bodies(docs, nodes, _ends(near), words)
     judged = landed(verified(near, bodies, limit), "judged")
     labels = landed(components(judged.where("linked")), "labels")
-    members = landed(open_buckets(stars), "open-buckets")
+    members = still_open(landed(open_buckets(stars), "open-buckets"), labels)
+    large = landed(members.where("many > 1").select("node").distinct(), "large-buckets")
+    if not large.isEmpty():
+        # A bucket of many blocks would be compared block by block. Its sets meet under rarer keys instead.
+        bodies = set_bodies(docs, nodes, large, words)
+        stars = landed(bucket_stars(rarest_entries(bodies, limit)), "stars")
+        near = near_pairs(star_pairs(stars), sketches, limit).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        more = landed(verified(landed(near, "near"), bodies, limit), "judged")
+        judged = judged.unionByName(more)
+        labels = relabelled(labels, more.where("linked").select("a", "b"))
+        # All links among these sets are in the new buckets; a bucket stays for the sets that were not keyed again.
+        mixed = landed(members.join(large, "node", "left_anti").select("key").distinct(), "mixed-buckets")
+        kept = members.join(mixed, "key", "left_semi").select("key", "node")
+        members = still_open(kept.unionByName(landed(open_buckets(stars), "open-buckets")), labels)
     forests = 1
-    while True:
-        # Written step by step: one query of all this would run dozens of stages at once, and the driver hold them.
-        members = still_open(members.select("key", "node"), labels)
-        if members.isEmpty():
-            break
+    # Written step by step: one query of all this would run dozens of stages at once, and the driver hold them.
+    while not members.isEmpty():
         failed = judged.where("not linked").select("a", "b")
         crossing = cross_pairs(members, sketches, failed, limit, forests)
         if crossing.isEmpty():
@@ -595,6 +678,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
             break
         # Components only grow and failures stay, so a bucket without a pair has none later.
         members = members.join(crossing.select("key").distinct(), "key", "left_semi")
+        members = still_open(members.select("key", "node"), labels)
         forests *= 4
     own = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))
     placed = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

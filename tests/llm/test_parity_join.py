@@ -124,6 +124,42 @@ def test_rounds_are_small_queries_over_buckets_with_open_pairs(spark, monkeypatc
     assert open_keys[-1] < open_keys[0]
 
 
+def _around(n, seed, edited):
+    """Texts that share much and rarely link: edits of one base, or own words before a passage; every tenth has a near copy."""
+    rng = random.Random(seed)
+    shared = [f"w{k}" for k in range(120 if edited else 30)]
+    texts = []
+    for i in range(n):
+        own = list(shared) if edited else [f"x{i}y{k}" for k in range(25)] + shared
+        for _ in range(rng.randint(15, 40) if edited else 0):
+            own[rng.randrange(len(own))] = f"x{i}y{rng.randrange(99)}"
+        texts.append(own)
+        if i % 10 == 0:
+            texts.append([*own[:-1], f"z{i}"])
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("edited", [False, True])
+def test_sets_around_something_shared_are_not_dealt_to_blocks_by_the_square(spark, monkeypatch, edited):
+    dealt, plain = [], parity_join.cross_pairs
+
+    def watched(open_, *others):
+        outside = F.when(F.col("label") != F.col("big"), F.col("many")).otherwise(0)
+        dealt.append(open_.select(F.sum(outside + F.col("few"))).first()[0])
+        return plain(open_, *others)
+
+    monkeypatch.setattr(parity_join, "cross_pairs", watched)
+    monkeypatch.setattr(parity_join, "BLOCK", 8)
+    made = {}
+    for n in (100, 200):
+        rows = _around(n, 14, edited)
+        assert _found(spark, rows, words=3, num=80, den=100) == _slow(rows, 3, 80, 100)
+        made[n] = sum(dealt)
+        dealt.clear()
+    assert made[200] <= 2.5 * made[100] + 50, made
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i % 7000}" for i in range(21_000))
     rows = [
